@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, mixing, quality, simhash, sketch, urls
+from . import bpe, html_text, mixing, quality, simhash, sketch, token_store, urls
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -37,6 +37,11 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(pages(spark, sf_dir))
 
 
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = token_store.write(documents(spark, sf_dir), token_store.shared_folder(spark), WORD_BPE, end=2)
+    return token_store.read_digests(spark, folder)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(documents(spark, sf_dir))
 
@@ -54,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filters": op2_url_filters,
     "op3_mixing": op3_mixing,
     "op4_html_text": op4_html_text,
+    "op5_token_store": op5_token_store,
     "op7_simhash": op7_simhash,
     "op8_quality_rules": op8_quality_rules,
     "op9_bpe_round_trip": op9_bpe_round_trip,
