@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only if its measured rows times their width stay below this.
@@ -27,3 +28,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
     """Mark a materialised side for broadcast if it is measured to be small; otherwise leave the join to Spark."""
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints, which all executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        checkpoint(spark.range(1))  # sets a folder where none is named
+        base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

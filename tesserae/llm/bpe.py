@@ -323,6 +323,25 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
 
 
+def encode(docs: DataFrame, path: str) -> DataFrame:
+    """The documents without their text: doc_id, lang, source, n_tokens, ids, and whether the decoded ids are the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = worker_encoder(path)
+        for batch in batches:
+            for rows, texts in slices(batch, most=SLICE):
+                ids, counts = encoder(texts)
+                ends = np.concatenate([[0], np.cumsum(counts)])
+                sizes = np.concatenate([[0], np.cumsum(encoder.bpe.piece_len[ids])])[ends].tolist()
+                text = encoder.bpe.decode(ids).tobytes()
+                same = [text[a:b] == t for a, b, t in zip(sizes, sizes[1:], texts.to_pylist())]
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("lang"), rows.column("source"), pa.array(counts), lists, pa.array(same, pa.bool_())], ["doc_id", "lang", "source", "n_tokens", "ids", "same"])
+
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("text").cast("string"))
+    return docs.mapInArrow(run, "doc_id long, lang string, source string, n_tokens long, ids array<int>, same boolean")
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 

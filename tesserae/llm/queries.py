@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, html_text, mixing, quality, simhash, sketch, substring_dedup, suffix_dedup, token_store, urls
+from ._spark import shared_folder
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -38,7 +39,7 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = token_store.write(documents(spark, sf_dir), token_store.shared_folder(spark), WORD_BPE, end=2)
+    folder = token_store.write(documents(spark, sf_dir), shared_folder(spark, "token-store"), WORD_BPE, end=2)
     return token_store.read_digests(spark, folder)
 
 

@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._spark import checkpoint, small_side
 from ._words import mix64, slices, words
@@ -208,7 +209,7 @@ def links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
 
 
 def classes(fps: DataFrame, hot: int = HOT) -> DataFrame:
-    """(fp, n_near, component_id) per distinct fingerprint of (doc_id, fp)."""
+    """(fp, n_near, component_id, root) per distinct fingerprint of (doc_id, fp)."""
     distinct = checkpoint(fps.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low")))
     found = checkpoint(links(distinct, hot))
     near = found.groupBy("fp").agg(F.sum("linked").alias("linked"))
@@ -216,7 +217,7 @@ def classes(fps: DataFrame, hot: int = HOT) -> DataFrame:
     all_ = distinct.join(near, "fp", "left").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     all_ = checkpoint(all_.select("fp", "low", (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_near"), F.coalesce("root", "fp").alias("root")))
     names = all_.groupBy("root").agg(F.min("low").alias("component_id"))
-    return all_.join(names, "root").select("fp", "n_near", "component_id")
+    return all_.join(names, "root").select("fp", "n_near", "component_id", "root")
 
 
 def hex16(c: Column) -> Column:
@@ -231,9 +232,22 @@ def groups(docs: DataFrame, hot: int = HOT) -> DataFrame:
 
 
 def representatives(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """The documents with one of each group left, all columns kept: that of the smallest doc_id, the first by text if several share it."""
+    """The documents with one of each group left, all columns kept: that of the smallest doc_id (null last), by fingerprint if several share it."""
     names = docs.columns
     fps = checkpoint(with_fingerprint(docs))
-    first = fps.join(classes(fps, hot), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep"), F.col("component_id").alias("_c")).groupBy("_keep").agg(F.count(F.lit(1)).alias("_n"))
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_keep"))).select(*(F.col(f"`{c}`") for c in names))
-    return kept.dropDuplicates(["doc_id"]) if first.where(F.col("_n") > 1).head(1) else kept
+    of = checkpoint(classes(fps, hot))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp"))
+    keep = fps.join(of, "fp").groupBy("root").agg(best.alias("k")).select(F.col("k.doc_id").alias("_keep"), F.col("k.fp").alias("_fp"))
+    rows = docs.join(keep.select("_keep").distinct(), F.col("doc_id").eqNullSafe(F.col("_keep"))).select(*(F.col(f"`{c}`") for c in names))
+    if fps.groupBy("doc_id").count().where(F.col("count") > 1).isEmpty():
+        return rows
+    # Rows that share a doc_id are told apart by their fingerprints, and equal ones made one.
+    kind = T.StructType([*docs.schema.fields, T.StructField("_row_fp", T.LongType())])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in slices(batch):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fingerprints(texts).view(np.int64))], [*part.schema.names, "_row_fp"])
+
+    rows = rows.mapInArrow(add, kind).join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")) & (F.col("_row_fp") == F.col("_fp")))
+    return rows.dropDuplicates(["doc_id", "_row_fp"]).select(*(F.col(f"`{c}`") for c in names))

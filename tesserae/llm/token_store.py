@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import os
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 from hashlib import blake2b
@@ -236,16 +235,6 @@ def merkle(table: DataFrame) -> DataFrame:
         level, depth = got.select(F.shiftright("node", FAN_BITS).alias("node"), F.col("node").alias("at"), "n_docs", "n_tokens", "root"), depth + 1
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder beside the checkpoints, which all executors share."""
-    context = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        checkpoint(spark.range(1))  # sets a folder where none is named
-        base = context._jsc.sc().getCheckpointDir().get()
-    return f"{base.rstrip('/')}/token-store-{uuid.uuid4().hex}"
-
-
 def write(docs: DataFrame, folder: str, path: str, end: int, width: int = 2) -> str:
     """Write a store of the documents (doc_id, text) and return its folder."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))

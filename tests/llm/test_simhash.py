@@ -60,11 +60,22 @@ def test_links_of_clustered_fingerprints(spark, hot):
     assert got == want
 
 
-def test_representatives_keep_one_of_each_group(spark, documents):
+def test_representatives_keep_one_of_each_group(spark, documents, clashing):
     kept = simhash.representatives(documents).collect()
-    groups = {r.component_id for r in simhash.groups(documents).collect()}
-    assert len(kept) == len(groups) and {r.doc_id for r in kept} == groups
-    assert simhash.representatives(documents).columns == documents.columns
+    rows = [(r.doc_id, one(r.text)) for r in documents.collect()]
+    fps = {r.fp % 2**64: r.root for r in simhash.classes(simhash.with_fingerprint(documents)).collect()}
+    groups = {}
+    for d, f in rows:
+        k = (d is None, d or 0, f if f < 2**63 else f - 2**64)
+        groups[fps[f]] = min(groups.get(fps[f], k), k)
+    assert sorted(groups.values()) == sorted((r.doc_id is None, r.doc_id or 0, (lambda f: f if f < 2**63 else f - 2**64)(one(r.text))) for r in kept)
+    assert simhash.representatives(clashing).columns == clashing.columns
+
+
+def test_representatives_of_distinct_ids(spark, documents):
+    df = documents.where("doc_id < 107")
+    kept = simhash.representatives(df).collect()
+    assert {r.doc_id for r in kept} == {r.component_id for r in simhash.groups(df).collect()} and len(kept) == len({r.doc_id for r in kept})
 
 
 def test_empty_table(documents):
