@@ -186,17 +186,17 @@ def gather(flat: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class Memory:
-    """Ids of the byte strings that a worker has met; ``encode`` gives those of new ones."""
+    """Ids of the strings that a worker has met; ``encode`` gives those of new ones."""
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = REMEMBER) -> None:
+    def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], most: int = REMEMBER) -> None:
         self.encode, self.most = encode, most
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known: dict = {}
         self.flat, self.at, self.size = array("i"), array("q"), array("q")
 
-    def __call__(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def __call__(self, units: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(flat ids, where each unit's begin, how many they are)."""
         if len(self.known) > self.most:
             self.clear()

@@ -32,23 +32,33 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._spark import checkpoint, small_side
 from ._words import mix64, slices, words
-from .bpe import Memory, gather
+from .bpe import Memory, byte_chars, gather
 
 WINDOW, LEAST, MOST, MASK = 16, 128, 4096, np.uint64(511)
 DIGEST = 16
 FAN_BITS = 10
 SLICE = 4 << 20
+PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^ \p{L}\p{N}]+")
+#: Distinct pre-tokens and words that a worker remembers.
+REMEMBER_PARTS, REMEMBER_WORDS = 600_000, 600_000
 _Q = 0x9E3779B97F4A7C15
 _Q_INVERSE = pow(_Q, -1, 2**64)
 
 
 class WordTokenizer:
-    """A tokenizers file that drops white space, so that words can be encoded one by one, each distinct one once."""
+    """A tokenizers file of lower-cased words, of which white space is no part, so that each distinct word is encoded once.
+
+    New words of Latin letters, digits and signs are cut into pre-tokens
+    together, and pre-tokens that are new go through the library's model. All
+    other words are left to the whole tokenizer.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -57,28 +67,39 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        special = [t for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = [t.content.encode() for t in special]
-        self.mark = special[0].content if special else None
-        self.mark_id = self.tokenizer.token_to_id(self.mark) if self.mark else -1
-        self.memory = Memory(self._encode)
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: What the short way doesn't take: beyond Latin Extended-B normalization and case have more to them.
+        self.odd = regex.compile("|".join([*map(regex.escape, special), r"[^ !-~\u00a1-\u024f]"]))
+        self.letter = {b: c for c, b in byte_chars().items()}
+        self.memory = Memory(self._encode, REMEMBER_WORDS)
+        self.parts = Memory(self._parts, REMEMBER_PARTS)
+
+    def _parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        tokenize, letter = self.tokenizer.model.tokenize, self.letter
+        ids = [[t.id for t in tokenize("".join([letter[b] for b in p.encode()]))] for p in parts]
+        return np.array([i for x in ids for i in x], np.int64), np.array([len(x) for x in ids], np.int64)
 
     def _encode(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        text = b" ".join(units).decode()
         counts = np.zeros(len(units), np.int64)
-        odd = np.array([not self.mark or any(s in u for s in self.special) for u in units], bool)
-        # Words without a special token go in one text, a special token between each two.
-        plain = np.flatnonzero(~odd)
-        joined = self.tokenizer.encode(self.mark.join([units[i].decode() for i in plain]), add_special_tokens=False).ids if len(plain) else []
-        ids = np.array(joined, np.int64)
-        cuts = np.flatnonzero(ids == self.mark_id)
-        ids = np.delete(ids, cuts)
-        ends = np.append(cuts - np.arange(len(cuts)), len(ids))
-        if len(plain):
-            counts[plain] = np.diff(np.concatenate([[0], ends]))
-        alone = [np.array(self.tokenizer.encode(units[i].decode(), add_special_tokens=False).ids, np.int64) for i in np.flatnonzero(odd)]
-        counts[odd] = [len(a) for a in alone]
+        odd = np.zeros(len(units), bool)
+        if self.odd.search(text):
+            odd[:] = [bool(self.odd.search(u.decode())) for u in units]
+            text = b" ".join([u for u, o in zip(units, odd) if not o]).decode()
+        text = text.lower()
+        parts = pa.array(PARTS.findall(text), pa.large_string())
+        coded = parts.dictionary_encode()
+        flat, at, size = self.parts(coded.dictionary.to_pylist())
+        index = coded.indices.to_numpy(zero_copy_only=False)
+        ids = gather(flat, at[index], size[index])
+        ends = np.cumsum([len(w) for w in text.split(" ")]) if text else np.zeros(0, np.int64)
+        lengths = np.concatenate([[0], np.cumsum(pc.utf8_length(parts).to_numpy(zero_copy_only=False))])
+        total = np.concatenate([[0], np.cumsum(size[index])])
+        counts[~odd] = np.diff(total[np.concatenate([[0], np.searchsorted(lengths, ends)])])
+        alone = [np.array(self.tokenizer.encode(u.decode(), add_special_tokens=False).ids, np.int64) for u, o in zip(units, odd) if o]
+        counts[odd] = [len(x) for x in alone]
         start = np.zeros(len(units), np.int64)
-        start[plain] = np.cumsum(counts[plain]) - counts[plain]
+        start[~odd] = np.cumsum(counts[~odd]) - counts[~odd]
         start[odd] = len(ids) + np.cumsum(counts[odd]) - counts[odd]
         return gather(np.concatenate([ids, *alone]), start, counts), counts
 

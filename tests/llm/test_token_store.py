@@ -15,7 +15,7 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 def test_words_encode_as_whole_texts():
     rnd = random.Random(4)
-    alpha = "aaabB'sé́ ñßΣσ  \n\t1٣中😀.!?-\u0085  <|endoftext|>"
+    alpha = "aaabB'sé́ ñßΣσ  \n\t1٣中😀.!?-\u0085\x1c\x07İ  <|endoftext|>"
     texts = ["", None, "it's <|endoftext|>x", "<|startoftext|>", "a<|startoftext|> b", "ΟΔΟΣ. ΑΣ ΣΑΣ'Σ", *("".join(rnd.choice(alpha) for _ in range(rnd.randint(1, 30))) for _ in range(3000))]
     ids, counts = s.WordTokenizer(PATH)(text_array(pa.array(texts)), 2)
     t, at = Tokenizer.from_file(PATH), 0
