@@ -12,10 +12,10 @@ folder of three tables:
 ``leaf`` is the digest of a document's id, length and chunk digests. Reading
 checks every chunk against its digest and the recipes against the manifest.
 
-Texts are tokenized once for the recipes and once for the chunks: that is
-cheaper in disk than to stage all ids. A task emits a chunk once, however many
-documents hold it, so a passage that a third of all documents share moves as few
-times as there are tasks.
+Texts are tokenized once, into a staging table in the store's folder, from which
+recipes and chunks are made and which is then deleted. A task stages a chunk
+once, however many documents hold it, so a passage that a third of all documents
+share moves no more often than there are tasks.
 
 Defined results: null and empty texts have the end id only; rows that share a
 doc_id follow each other by leaf; a null doc_id comes first; extra columns are
@@ -178,31 +178,53 @@ def _pieces(data: bytes, sizes: np.ndarray, width: int) -> list[bytes]:
     return [data[a:b] for a, b in zip([0, *ends], ends)]
 
 
-def recipes(docs: DataFrame, path: str, end: int, width: int) -> DataFrame:
-    """doc_id, n_tokens, digests (joined) and leaf of every document."""
+def staged(docs: DataFrame, path: str, end: int, width: int) -> DataFrame:
+    """Every document's recipe, and the bytes of those of its chunks that its task hasn't met before.
+
+    sizes: ids of each chunk; fresh: 1 for each whose bytes are in payload.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for rows, counts, sizes, each, data in _streams(batches, path, end, width):
-            keys = [digest(p) for p in _pieces(data, sizes, width)]
+            pieces = _pieces(data, sizes, width)
+            keys = [digest(p) for p in pieces]
+            fresh = bytearray(len(keys))
+            for i, k in enumerate(keys):
+                if k not in seen:
+                    seen.add(k)
+                    fresh[i] = 1
             ends = np.cumsum(each).tolist()
-            lists = [b"".join(keys[a:b]) for a, b in zip([0, *ends], ends)]
+            spans = [*zip([0, *ends], ends)]
+            lists = [b"".join(keys[a:b]) for a, b in spans]
             leaves = [leaf(d, n, k) for d, n, k in zip(rows.column("doc_id").to_pylist(), counts.tolist(), lists)]
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(counts), pa.array(lists, pa.binary()), pa.array(leaves, pa.binary())], ["doc_id", "n_tokens", "digests", "leaf"])
-
-    return docs.mapInArrow(run, "doc_id long, n_tokens long, digests binary, leaf binary")
-
-
-def chunks(docs: DataFrame, path: str, end: int, width: int) -> DataFrame:
+            lengths = sizes.astype("<i4")
+            columns = [
+                rows.column("doc_id"),
+                pa.array(counts),
+                pa.array(lists, pa.binary()),
+                pa.array(leaves, pa.binary()),
+                pa.array([lengths[a:b].tobytes() for a, b in spans], pa.binary()),
+                pa.array([bytes(fresh[a:b]) for a, b in spans], pa.binary()),
+                pa.array([b"".join([p for p, f in zip(pieces[a:b], fresh[a:b]) if f]) for a, b in spans], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "digests", "leaf", "sizes", "fresh", "payload"])
+
+    return docs.mapInArrow(run, "doc_id long, n_tokens long, digests binary, leaf binary, sizes binary, fresh binary, payload binary")
+
+
+def chunks(stage: DataFrame, width: int) -> DataFrame:
     """Every distinct chunk once."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for _, _, sizes, _, data in _streams(batches, path, end, width):
+        for batch in batches:
             out = []
-            for p, n in zip(_pieces(data, sizes, width), sizes.tolist()):
-                if (k := digest(p)) not in seen:
-                    seen.add(k)
-                    out.append((k, n, p))
+            for keys, sizes, fresh, data in zip(*(batch.column(c).to_pylist() for c in ("digests", "sizes", "fresh", "payload"))):
+                at = 0
+                for i, (n, f) in enumerate(zip(np.frombuffer(sizes, "<i4").tolist(), fresh)):
+                    if f:
+                        out.append((keys[i * DIGEST : (i + 1) * DIGEST], n, data[at : at + n * width]))
+                        at += n * width
             k, n, p = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.binary()), pa.array(n, pa.int32()), pa.array(p, pa.binary())], ["digest", "n", "payload"])
 
@@ -216,7 +238,7 @@ def chunks(docs: DataFrame, path: str, end: int, width: int) -> DataFrame:
             yield batch.filter(pa.array(fresh, pa.bool_()))
 
     schema = "digest binary, n int, payload binary"
-    return docs.mapInArrow(emit, schema).repartition(_parts(docs), "digest").mapInArrow(once, schema)
+    return stage.select("digests", "sizes", "fresh", "payload").mapInArrow(emit, schema).repartition(_parts(stage), "digest").mapInArrow(once, schema)
 
 
 def _parts(df: DataFrame) -> int:
@@ -258,11 +280,16 @@ def merkle(table: DataFrame) -> DataFrame:
 
 def write(docs: DataFrame, folder: str, path: str, end: int, width: int = 2) -> str:
     """Write a store of the documents (doc_id, text) and return its folder."""
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    placed = _placed(checkpoint(recipes(docs, path, end, width)))
+    staged(docs, path, end, width).write.option("compression", "zstd").parquet(f"{folder}/stage")
+    stage = spark.read.parquet(f"{folder}/stage")
+    placed = _placed(stage.select("doc_id", "n_tokens", "digests", "leaf"))
     placed.repartitionByRange(_parts(docs), F.col("start")).sortWithinPartitions("start").write.option("compression", "zstd").parquet(f"{folder}/recipes")
-    chunks(docs, path, end, width).write.option("compression", "zstd").parquet(f"{folder}/chunks")
-    merkle(docs.sparkSession.read.parquet(f"{folder}/recipes")).withColumn("width", F.lit(width)).write.parquet(f"{folder}/manifest")
+    chunks(stage, width).write.option("compression", "zstd").parquet(f"{folder}/chunks")
+    merkle(spark.read.parquet(f"{folder}/recipes")).withColumn("width", F.lit(width)).write.parquet(f"{folder}/manifest")
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/stage")
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
     return folder
 
 
