@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import argparse
-import os
 
 from pyspark.sql import functions as F
 
@@ -19,7 +18,7 @@ from .sources.sinks import write_annotations, write_task_files
 
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="tesserae", description="Describe large datasets: list objects, plan tasks, checksum and combine.")
-    p.add_argument("--root", default="s3a://", help="folder or store that holds the buckets")
+    p.add_argument("--root", default="s3://", help="folder or store that holds the buckets")
     sub = p.add_subparsers(dest="command", required=True)
     a = sub.add_parser("list", help="list objects and plan tasks")
     a.add_argument("prefix", help="bucket/key-prefix")
@@ -40,7 +39,7 @@ def main(argv: list[str] | None = None) -> int:
     if o.command == "checksum":
         bucket, _, key = o.url.replace("s3://", "").partition("/")
         path = at(bucket, key)
-        print(f"Checksum: {file_checksum(os.path.abspath(path) if '://' not in path else path, o.offset, o.length)}")
+        print(f"Checksum: {file_checksum(path, o.offset, o.length)}")
         return 0
     spark = session()
     if o.command == "list":

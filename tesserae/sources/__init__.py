@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Iterator
 
@@ -25,14 +26,38 @@ def list_table(objects: DataFrame, prefix: str) -> DataFrame:
     return objects.where(F.col("key").startswith(prefix)).orderBy("key")
 
 
+def _filesystem(path: str) -> tuple[object, str]:
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
+
+
 def list_files(spark: SparkSession, bucket: str, root: str, prefix: str = "") -> DataFrame:
-    """Listing of the files under root, keys relative to it; only metadata is read. Sources that no ETag comes with give null."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "modificationTime", "length")
-    base = root.rstrip("/")
-    base = base.split("://", 1)[1] if "://" in base else base.removeprefix("file:")
-    key = F.regexp_replace(F.expr("url_decode(replace(path, '+', '%2B'))"), "^[a-z0-9]+:/*" + re.escape(base.lstrip("/")) + "/", "")
-    out = files.select(F.lit(bucket).alias("bucket"), key.alias("key"), F.col("modificationTime").alias("last_modified"), F.lit(None).cast("string").alias("etag"), F.col("length").alias("size"))
-    return list_table(out, prefix)
+    """Listing of the files under root, empty ones too, keys relative to it; bytes aren't read and there is no ETag (null).
+
+    The driver lists one level; what may hold the prefix below it is listed by
+    tasks, a folder each.
+    """
+    from pyarrow import fs
+
+    store, base = _filesystem(root)
+    base = base.rstrip("/")
+    top = [i.path[len(base) + 1 :] + "/" * (i.type == fs.FileType.Directory) for i in store.get_file_info(fs.FileSelector(base, allow_not_found=True))]
+    top = [(k,) for k in top if k.startswith(prefix) or k.endswith("/") and prefix.startswith(k)]
+    uri = root.rstrip("/") if "://" in root else base
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, at = _filesystem(uri)
+        at = at.rstrip("/")
+        for b in batches:
+            for k in b.column("key").to_pylist():
+                found = here.get_file_info(fs.FileSelector(f"{at}/{k}", recursive=True)) if k.endswith("/") else [here.get_file_info(f"{at}/{k}")]
+                rows = [i for i in found if i.type == fs.FileType.File]
+                yield pa.RecordBatch.from_arrays([pa.array([i.path[len(at) + 1 :] for i in rows], pa.string()), pa.array([i.mtime for i in rows], pa.timestamp("us", "UTC")), pa.array([i.size for i in rows], pa.int64())], ["key", "last_modified", "size"])
+
+    folders = spark.createDataFrame(top, "key string").repartition(max(1, min(len(top), 1000)))
+    files = folders.mapInArrow(run, "key string, last_modified timestamp, size long")
+    return list_table(files.select(F.lit(bucket).alias("bucket"), "key", "last_modified", F.lit(None).cast("string").alias("etag"), "size"), prefix)
 
 
 def from_api(pages: DataFrame, bucket: str) -> DataFrame:
@@ -57,7 +82,8 @@ def slice_bytes(data: Column, offset: Column, length: Column) -> Column:
 def read_range(path: str, offset: int, length: int | None) -> Iterator[bytes]:
     """Chunks of a file's byte range; a range beyond the end is shorter or empty."""
     left = length or None
-    with pa.fs.FileSystem.from_uri(path)[0].open_input_file(pa.fs.FileSystem.from_uri(path)[1]) as f:
+    store, at = _filesystem(path)
+    with store.open_input_file(at) as f:
         f.seek(min(offset, f.size()))
         while left is None or left > 0:
             data = f.read(CHUNK if left is None else min(CHUNK, left))
