@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import RDF_TYPE, ROBUSTNESS, classes, iri
+from ..session import inline
 
 REQUIRED, RANGE = iri("linkml:required"), iri("linkml:range")
 _LITERAL = ("string", "integer", "float", "enum", "uri")
@@ -34,7 +35,7 @@ def range_rules() -> list[tuple[str, str, str]]:
 
 
 def _rules(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
-    return F.broadcast(spark.createDataFrame(rows, names))  # a few rows by construction
+    return F.broadcast(inline(spark, rows, names))  # a few rows by construction
 
 
 def typed(quads: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from . import functions as fn
 from . import plans, sources
 from .model import CORE_METHODS, GIB, METHODS, PREFIXES, RDF_TYPE, ROBUSTNESS, Method, classes, iri
 from .operators import annotate, checks, checksum, rdf
+from .session import inline
 from .sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,7 +98,7 @@ t AS (SELECT CASE WHEN n = 0 THEN total + 1 ELSE before + i + 1 END AS task_num,
 def _(spark, sf):
     t = plans.plan_tasks(listing(spark, sf), METHODS["md5-8gb"])
     lines = t.select(F.concat(F.lit("  "), fn.task_line(F.col("url"), F.col("size"), F.col("method"), F.col("block_size"), F.col("offset")), F.lit(" \n")).alias("value"))
-    return sources.task_rows(lines.unionAll(spark.createDataFrame([("",), ("   ",)], "value string")))
+    return sources.task_rows(lines.unionAll(inline(spark, [("",), ("   ",)], "value string")))
 
 
 @query("src04_range_md5_1000", f"WITH {OBJECTS} SELECT key, md5(content[101:1100]) AS checksum FROM objects")
@@ -138,7 +139,7 @@ def _(spark, sf):
 
 @query("scl11_methods", "SELECT * FROM (VALUES " + ", ".join(f"('{m}', CAST({METHODS[m].block_size} AS BIGINT), {METHODS[m].needs_offsets})" for m in CORE_METHODS) + ") v(id, block_size, needs_offsets)")
 def _(spark, sf):
-    m = spark.createDataFrame([(METHODS[i].id, METHODS[i].block_size) for i in CORE_METHODS], "id string, block_size long")
+    m = inline(spark, [(METHODS[i].id, METHODS[i].block_size) for i in CORE_METHODS], "id string, block_size long")
     return m.select("id", "block_size", fn.needs_offsets(F.col("block_size")).alias("needs_offsets"))
 
 
@@ -292,8 +293,8 @@ def entities(spark, sf) -> dict[str, DataFrame]:
         F.lit(None).cast("string").alias("label"),
         none.alias("hasDescriptor"),
     )
-    types = spark.createDataFrame([("dat:type-quality", "quality", "dat:md5", None)], "id string, label string, usesMethod string, max_block_size long")
-    methods = spark.createDataFrame([("dat:md5", "MD5", None, "VERY_HIGH"), ("dat:own", None, None, "STRONG")], "id string, label string, comment string, robustness string")
+    types = inline(spark, [("dat:type-quality", "quality", "dat:md5", None)], "id string, label string, usesMethod string, max_block_size long")
+    methods = inline(spark, [("dat:md5", "MD5", None, "VERY_HIGH"), ("dat:own", None, None, "STRONG")], "id string, label string, comment string, robustness string")
     return {"Item": items, "Descriptor": descriptors, "DescriptorType": types, "Method": methods}
 
 
@@ -389,7 +390,7 @@ def _(spark, sf):
         return table(spark, sf, name).select(F.concat(F.lit(a), F.col(x).cast("string")).alias("src"), F.concat(F.lit(b), F.col(y).cast("string")).alias("dst"))
 
     e = edge("customer", "c", "c_custkey", "n", "c_nationkey").unionAll(edge("supplier", "s", "s_suppkey", "n", "s_nationkey")).unionAll(edge("nation", "n", "n_nationkey", "r", "n_regionkey"))
-    return rdf.closure(e.unionAll(spark.createDataFrame([("r0", "r0")], "src string, dst string")))
+    return rdf.closure(e.unionAll(inline(spark, [("r0", "r0")], "src string, dst string")))
 
 
 # --- checks -----------------------------------------------------------------

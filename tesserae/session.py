@@ -40,3 +40,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
     """Mark a materialised side for broadcast if it is measured to be small; otherwise Spark chooses."""
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
+def inline(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
+    """A few rows as a table of the plan itself, so that no task and no Python worker makes them; names: "a string, b long"."""
+    if not rows:
+        return spark.createDataFrame([], names)
+    literal = lambda v: "NULL" if v is None else str(v) if not isinstance(v, str) else "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    columns = [n.split() for n in names.split(", ")]
+    values = ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows)
+    casts = ", ".join(f"CAST({n} AS {t}) AS {n}" for n, t in columns)
+    return spark.sql(f"SELECT {casts} FROM VALUES {values} AS t({', '.join(n for n, _ in columns)})")
