@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import checkpoint
+
 #: A subtree is template if it is on so many pages of its host, and on this share of them.
 MIN_PAGES, MIN_SHARE = 8, 0.05
 
@@ -178,57 +181,65 @@ def _host(url: str | None) -> str:
     return re.split(r"[/?#]", url.split("://", 1)[1], maxsplit=1)[0].lower() if url and "://" in url else ""
 
 
-def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_BLOCK = pa.struct([("text", pa.string()), ("path", pa.list_(pa.int64()))])
+_SURVEY = "host string, mark long, n long, page_id long, url string, blocks array<struct<text:string,path:array<long>>>, key binary"
+STEP = 256
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str], list[Page], list[bool]]]:
+    """A few hundred pages at a time, with their urls and whether blocks of them may be template."""
     for batch in batches:
-        hosts, marks = [], []
-        for url, source in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
-            host = _host(url)
-            for x in (None, *parse(source).marks):
-                hosts.append(host)
-                marks.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(marks, pa.int64())], ["host", "mark"])
+        for lo in range(0, batch.num_rows, STEP):
+            part = batch.slice(lo, STEP)
+            pages = [parse(x) for x in part.column("html").to_pylist()]
+            yield part, part.column("url").to_pylist(), pages, [any(p for _, p in x.blocks) for x in pages]
 
 
-_BLOCK = pa.struct([("text", pa.string()), ("path", pa.list_(pa.int64()))])
+def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of (host, mark), null marks counting pages, summed over some pages; and the pages that need them."""
+    for part, urls, pages, unsure in _parsed(batches):
+        counts = Counter((_host(u), m) for u, x in zip(urls, pages) for m in (None, *x.marks))
+        sources, ids = part.column("html").to_pylist(), part.column("page_id").to_pylist()
+        rows = [(h, m, n, None, None, None, None) for (h, m), n in counts.items()]
+        rows += [(_host(u), None, 0, i, u, [{"text": t, "path": p} for t, p in x.blocks], hashlib.md5(repr((u, y)).encode("utf-8", "surrogatepass")).digest()) for i, u, y, x, d in zip(ids, urls, sources, pages, unsure) if d]
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(_BLOCK), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["host", "mark", "n", "page_id", "url", "blocks", "key"])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 256):
-            part = batch.slice(lo, 256)
-            urls, sources = part.column("url").to_pylist(), part.column("html").to_pylist()
-            pages = [parse(x) for x in sources]
-            unsure = [any(p for _, p in x.blocks) for x in pages]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("page_id"),
-                    part.column("url"),
-                    pa.array([_host(u) for u in urls], pa.string()),
-                    pa.array([join([t for t, _ in x.blocks]) for x in pages], pa.string()),
-                    pa.array([[{"text": t, "path": p} for t, p in x.blocks] if u else None for x, u in zip(pages, unsure)], pa.list_(_BLOCK)),
-                    pa.array([hashlib.md5(repr((u, x)).encode("utf-8", "surrogatepass")).digest() if d else None for u, x, d in zip(urls, sources, unsure)], pa.binary()),
-                ],
-                ["page_id", "url", "host", "text", "blocks", "key"],
-            )
+def _sure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part, _, pages, unsure in _parsed(batches):
+        texts = pa.array([None if d else join([t for t, _ in x.blocks]) for x, d in zip(pages, unsure)], pa.string())
+        yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), texts], ["page_id", "url", "text"])
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, mark) of the subtrees that recur on many pages of their host."""
-    marks = pages.select(F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(_marks, "host string, mark long")
-    counts = marks.groupBy("host", "mark").agg(F.count(F.lit(1)).alias("n"))
-    # The null mark counts a host's pages.
+def _recurring(survey: DataFrame, min_pages: int, min_share: float) -> DataFrame:
+    counts = survey.where(F.col("key").isNull()).groupBy("host", "mark").agg(F.sum("n").alias("n"))
     hosts = counts.where(F.col("mark").isNull()).select(F.col("host").alias("h"), F.col("n").alias("pages"))
     common = counts.where(F.col("mark").isNotNull() & (F.col("n") >= min_pages))
     return common.join(hosts, F.col("host") == F.col("h")).where(F.col("n") >= min_share * F.col("pages")).select("host", "mark")
 
 
+def _slim(pages: DataFrame) -> DataFrame:
+    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
+
+
+def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+    """(host, mark) of the subtrees that recur on many pages of their host."""
+    return _recurring(_slim(pages).mapInArrow(_survey, _SURVEY), min_pages, min_share)
+
+
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """page_id, url, text and n_chars of every page."""
-    parsed = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(_blocks, "page_id long, url string, host string, text string, blocks array<struct<text:string,path:array<long>>>, key binary")
-    sure = parsed.where(F.col("key").isNull()).select("page_id", "url", "text")
-    unsure = parsed.where(F.col("key").isNotNull())
+    """page_id, url, text and n_chars of every page.
+
+    Pages are parsed twice: for the counts, written with the blocks of pages that
+    depend on them, and for the texts of all others.
+    """
+    pages = _slim(pages)
+    survey = checkpoint(pages.mapInArrow(_survey, _SURVEY))
+    sure = pages.mapInArrow(_sure, "page_id long, url string, text string").where(F.col("text").isNotNull())
+    unsure = survey.where(F.col("key").isNotNull()).select("page_id", "url", "host", "blocks", "key")
     near = unsure.select("key", "host", F.explode(F.array_distinct(F.flatten(F.col("blocks.path")))).alias("mark")).distinct()
-    bad = near.join(templates(pages, min_pages, min_share), ["host", "mark"]).groupBy("key").agg(F.collect_set("mark").alias("bad"))
+    bad = near.join(_recurring(survey, min_pages, min_share), ["host", "mark"]).groupBy("key").agg(F.collect_set("mark").alias("bad"))
     rest = unsure.join(bad, "key", "left")
     kept = F.filter("blocks", lambda b: ~F.arrays_overlap(b["path"], F.coalesce("bad", F.array().cast("array<long>"))))
     rest = rest.select("page_id", "url", F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n").alias("text"))
