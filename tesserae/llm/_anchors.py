@@ -149,7 +149,17 @@ class Method:
     schema: str
 
 
+#: What the group column's name begins with; as many underscores follow as keep it apart from other columns.
+GROUP = "grp"
+
+
+def _group(table: pa.Table) -> tuple[str, int]:
+    name = max((n for n in table.column_names if n.rstrip("_") == GROUP), key=len)
+    return name, int(table[name][0].as_py())
+
+
 def _all_runs(table: pa.Table, m: Method) -> Iterator[tuple[pa.RecordBatch, Symbols, Runs, np.ndarray]]:
+    table = table.drop_columns([_group(table)[0]])
     for rows, texts in (x for batch in table.sort_by("doc_id").combine_chunks().to_batches() for x in slices(batch)):
         s = m.symbols(texts)
         r = runs(s.values, s.first, m.length, m.gram)
@@ -158,7 +168,7 @@ def _all_runs(table: pa.Table, m: Method) -> Iterator[tuple[pa.RecordBatch, Symb
 
 def _tell(table: pa.Table, m: Method, parts: int) -> pa.Table:
     """Step 1."""
-    group = int(table["grp"][0].as_py())
+    _, group = _group(table)
     got = [(r.fp & _LOW48, r.ch & _LOW40, doc) for _, _, r, doc in _all_runs(table, m)]
     fp, ch, doc = (np.concatenate([g[i] for g in got]) for i in range(3))
     ch[ch == SEVERAL] = 1
@@ -244,7 +254,7 @@ def _hot_digests(s: Symbols, r: Runs, i: int, length: int) -> list[bytes]:
 
 def _send(left: pa.Table, right: pa.Table, m: Method, parts: int) -> pa.Table:
     """Step 3."""
-    group = int(left["grp"][0].as_py())
+    _, group = _group(left)
     said = _said(right)
     said = said[said["first"] >= ASK_HOT]
     contexts: dict[tuple[int, int], list] = {}
@@ -349,8 +359,10 @@ def dedup(docs: DataFrame, m: Method, hot: int = HOT) -> DataFrame:
     nothing, and nothing is removed on its account.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    named = docs.where(F.col("doc_id").isNotNull()).withColumn("grp", group_of(F.col("doc_id")))
-    groups = named.groupBy("grp")
+    name = GROUP
+    while any(c.rstrip("_") == GROUP and len(c) >= len(name) for c in docs.columns):
+        name += "_"
+    groups = docs.where(F.col("doc_id").isNotNull()).withColumn(name, group_of(F.col("doc_id"))).groupBy(name)
     told = groups.applyInArrow(lambda t: _tell(t, m, parts), "part int, grp long, payload binary")
     said = told.repartition(parts, "part").mapInArrow(lambda b: _meet(b, hot), ANSWERS)
     asked = groups.cogroup(said.groupBy("grp")).applyInArrow(lambda x, y: _send(x, y, m, parts), "part int, grp long, kind int, payload binary")

@@ -37,3 +37,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         checkpoint(spark.range(1))  # sets a folder where none is named
         base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def free_name(base: str, columns: list[str]) -> str:
+    """base, with underscores behind it if a column has that name."""
+    while base in columns:
+        base += "_"
+    return base

@@ -109,11 +109,11 @@ def plan(docs: DataFrame) -> DataFrame:
 
 def sample(docs: DataFrame) -> DataFrame:
     """The mix itself: each document as many times as it is taken, with all its columns. Texts aren't shuffled."""
-    names = docs.columns
-    rows = keyed(docs)
+    # All columns in one, so that none can clash with those that decide.
+    rows = keyed(docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "source")).drop("text")
     slim = checkpoint(rows.select("doc_id", "_source", "_size", "_key", "_range"))
     mixed = _decided(rows, source_plan(slim)).where((F.col("_size") > 0) & (F.col("_copies") > 0))
-    return mixed.select(*(F.col(f"`{n}`") for n in names), F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")).drop("_copy")
+    return mixed.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("_row.*")
 
 
 ORACLE_SQL = f"""WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import checkpoint, small_side
+from ._spark import checkpoint, free_name, small_side
 from ._words import mix64, slices, words
 from .components import components
 
@@ -237,17 +237,21 @@ def representatives(docs: DataFrame, hot: int = HOT) -> DataFrame:
     fps = checkpoint(with_fingerprint(docs))
     of = checkpoint(classes(fps, hot))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp"))
-    keep = fps.join(of, "fp").groupBy("root").agg(best.alias("k")).select(F.col("k.doc_id").alias("_keep"), F.col("k.fp").alias("_fp"))
-    rows = docs.join(keep.select("_keep").distinct(), F.col("doc_id").eqNullSafe(F.col("_keep"))).select(*(F.col(f"`{c}`") for c in names))
+    own, row_fp = free_name("keep", names), free_name("row_fp", names)
+    keep = checkpoint(fps.join(of, "fp").groupBy("root").agg(best.alias("k")).select(F.col("k.doc_id").alias(own), F.col("k.fp").alias("fp")))
+    all_ = [F.col(f"`{c}`") for c in names]
+    ids = keep.select(own).distinct()
+    rows = docs.join(ids, docs["doc_id"].eqNullSafe(ids[own])).select(*(docs[f"`{c}`"] for c in names))
     if fps.groupBy("doc_id").count().where(F.col("count") > 1).isEmpty():
         return rows
     # Rows that share a doc_id are told apart by their fingerprints, and equal ones made one.
-    kind = T.StructType([*docs.schema.fields, T.StructField("_row_fp", T.LongType())])
+    kind = T.StructType([*docs.schema.fields, T.StructField(row_fp, T.LongType())])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch):
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fingerprints(texts).view(np.int64))], [*part.schema.names, "_row_fp"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fingerprints(texts).view(np.int64))], [*part.schema.names, row_fp])
 
-    rows = rows.mapInArrow(add, kind).join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")) & (F.col("_row_fp") == F.col("_fp")))
-    return rows.dropDuplicates(["doc_id", "_row_fp"]).select(*(F.col(f"`{c}`") for c in names))
+    rows, keep = rows.mapInArrow(add, kind), keep.withColumnRenamed("fp", row_fp + "_")
+    rows = rows.join(keep, F.col("doc_id").eqNullSafe(F.col(own)) & (F.col(row_fp) == F.col(row_fp + "_")))
+    return rows.dropDuplicates(["doc_id", row_fp]).select(*all_)

@@ -155,7 +155,7 @@ def _digests(rows: pa.RecordBatch, s: WordSymbols, gone: np.ndarray) -> dict:
 
 def _cut(rows: pa.RecordBatch, s: WordSymbols, gone: np.ndarray) -> dict:
     """All columns, the text without the removed words and the white space before each; other texts as they are."""
-    out = {n: rows.column(n) for n in rows.schema.names if n != "grp"}
+    out = {n: rows.column(n) for n in rows.schema.names}
     total = np.concatenate([[0], np.cumsum(gone)])[s.first]
     hit = np.flatnonzero(np.diff(total))
     texts = rows.column("text").to_pylist()
@@ -186,6 +186,4 @@ def digests(docs: DataFrame, hot: int = HOT) -> DataFrame:
 
 def remove(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """The documents, all columns kept, with repeated words taken out of text (and n_chars put right)."""
-    if "grp" in docs.columns:
-        raise ValueError("a column named grp is in the way")
     return dedup(docs, Method(LENGTH, GRAM, WordSymbols, pack, resolve, _cut, docs.schema), hot)

@@ -21,5 +21,5 @@ def clashing(documents):
     """The same with columns named as the operators' own."""
     from pyspark.sql import functions as F
 
-    names = ["size", "taken", "target", "fingerprint", "fp", "key", "block", "copy", "n", "root", "kept", "n_words", "_copy_", "group_id"]
+    names = ["size", "taken", "target", "fingerprint", "fp", "key", "block", "copy", "n", "root", "kept", "n_words", "_copy", "_row", "_size", "_key", "_source", "_s", "grp", "grp_", "keep", "row_fp", "root", "part", "kind", "payload"]
     return documents.withColumns({n: F.lit("x") for n in names})
