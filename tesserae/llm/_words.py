@@ -44,6 +44,13 @@ def raw(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, offs - offs[0]
 
 
+def byte_list(col: pa.Array) -> list[bytes]:
+    """The values of a large binary or string array; much faster than through Arrow scalars."""
+    buf, offs = raw(col)
+    data, at = buf.tobytes(), offs.tolist()
+    return [data[a:b] for a, b in zip(at, at[1:])]
+
+
 def slices(batch: pa.RecordBatch | pa.Table, column: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Cut a batch, without copies, into (rows, their texts) of at most ``most`` text bytes, one row at least."""
     texts = text_array(batch[column] if isinstance(batch, pa.Table) else batch.column(column))
@@ -97,7 +104,7 @@ class Words:
 
 def hash_all(distinct: pa.Array) -> np.ndarray:
     h = xxhash.xxh64_intdigest
-    return np.fromiter((h(w) for w in distinct.to_pylist()), np.uint64, len(distinct))
+    return np.fromiter((h(w) for w in byte_list(distinct)), np.uint64, len(distinct))
 
 
 def words(texts: pa.Array, lower: bool = False) -> Words:

@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._words import IS_SPACE, raw, slices
+from ._words import IS_SPACE, byte_list, raw, slices
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Symbols above which a pre-token is merged alone, with a heap.
@@ -201,7 +201,8 @@ class Memory:
         if len(self.known) > self.most:
             self.clear()
         known = self.known
-        new = [u for u in units if u not in known]
+        places = list(map(known.get, units))
+        new = [u for u, p in zip(units, places) if p is None] if None in places else []
         if new:
             ids, counts = self.encode(new)
             base = len(self.flat)
@@ -209,7 +210,8 @@ class Memory:
             self.size.frombytes(counts.astype(np.int64).tobytes())
             self.flat.frombytes(ids.astype(np.int32).tobytes())
             known.update(zip(new, range(len(known), len(known) + len(new))))
-        index = np.fromiter((known[u] for u in units), np.int64, len(units))
+            places = list(map(known.get, units))
+        index = np.array(places, np.int64)
         copy = lambda a, kind: np.frombuffer(a, kind).copy() if len(a) else np.zeros(0, kind)
         flat = copy(self.flat, np.int32) if new or not hasattr(self, "_flat") else self._flat
         self._flat = flat
@@ -248,7 +250,7 @@ class Encoder:
         rest = [units[i] for i in np.flatnonzero(~alone)]
         parts = pa.array(PATTERN.findall(b"".join(rest).decode()), pa.large_string())
         coded = parts.dictionary_encode()
-        flat, at, size = self.parts([x.encode() for x in coded.dictionary.to_pylist()])
+        flat, at, size = self.parts(byte_list(coded.dictionary))
         index = coded.indices.to_numpy(zero_copy_only=False)
         ids = gather(flat, at[index], size[index])
         ends = np.searchsorted(raw(parts)[1], np.cumsum([len(u) for u in rest]))
@@ -284,7 +286,7 @@ class Encoder:
             used = np.repeat(~whole, np.diff(first))
             coded = packed.filter(pa.array(used)).dictionary_encode()
             first = np.concatenate([[0], np.cumsum(np.where(whole, 0, np.diff(first)))])
-        flat, at, size = self.units(coded.dictionary.to_pylist())
+        flat, at, size = self.units(byte_list(coded.dictionary))
         index = coded.indices.to_numpy(zero_copy_only=False)
         ids = gather(flat, at[index], size[index])
         total = np.concatenate([[0], np.cumsum(size[index])])
@@ -334,7 +336,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum(counts)])
                 sizes = np.concatenate([[0], np.cumsum(encoder.bpe.piece_len[ids])])[ends].tolist()
                 text = encoder.bpe.decode(ids).tobytes()
-                same = [text[a:b] == t for a, b, t in zip(sizes, sizes[1:], texts.to_pylist())]
+                same = [text[a:b] == t for a, b, t in zip(sizes, sizes[1:], byte_list(texts))]
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("lang"), rows.column("source"), pa.array(counts), lists, pa.array(same, pa.bool_())], ["doc_id", "lang", "source", "n_tokens", "ids", "same"])
 

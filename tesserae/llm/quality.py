@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._words import IS_CHAR, IS_SPACE, Words, per_doc, slices, words
+from ._words import IS_CHAR, IS_SPACE, Words, byte_list, per_doc, slices, words
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, covered_fraction double, longest_repeat long"
 IS_SYMBOL = np.zeros(256, bool)
@@ -131,7 +131,7 @@ def measure(texts: pa.Array, rules: Rules) -> dict[str, np.ndarray]:
     longest[longest < 2] = 0
     chars = per_doc(IS_CHAR[w.buf] & ~IS_SPACE[w.buf], w.docs)
     symbols = per_doc(IS_SYMBOL[w.buf], w.docs)
-    rows = texts.to_pylist()
+    rows = byte_list(texts)
     dup = np.fromiter((_dup_lines(t) for t in rows), np.int64, len(rows))
     lines = np.fromiter((t.count(b"\n") + 1 for t in rows), np.int64, len(rows))
     base = (n < rules.min_words) | (100 * repeat > rules.max_repeat_percent * n)

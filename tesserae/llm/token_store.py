@@ -28,6 +28,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._spark import checkpoint, small_side
-from ._words import mix64, slices, words
+from ._words import byte_list, mix64, slices, words
 from .bpe import Memory, byte_chars, gather
 
 WINDOW, LEAST, MOST, MASK = 16, 128, 4096, np.uint64(511)
@@ -74,9 +75,9 @@ class WordTokenizer:
         self.memory = Memory(self._encode, REMEMBER_WORDS)
         self.parts = Memory(self._parts, REMEMBER_PARTS)
 
-    def _parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _parts(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         tokenize, letter = self.tokenizer.model.tokenize, self.letter
-        ids = [[t.id for t in tokenize("".join([letter[b] for b in p.encode()]))] for p in parts]
+        ids = [[t.id for t in tokenize("".join([letter[b] for b in p]))] for p in parts]
         return np.array([i for x in ids for i in x], np.int64), np.array([len(x) for x in ids], np.int64)
 
     def _encode(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +90,7 @@ class WordTokenizer:
         text = text.lower()
         parts = pa.array(PARTS.findall(text), pa.large_string())
         coded = parts.dictionary_encode()
-        flat, at, size = self.parts(coded.dictionary.to_pylist())
+        flat, at, size = self.parts(byte_list(coded.dictionary))
         index = coded.indices.to_numpy(zero_copy_only=False)
         ids = gather(flat, at[index], size[index])
         ends = np.cumsum([len(w) for w in text.split(" ")]) if text else np.zeros(0, np.int64)
@@ -107,7 +108,7 @@ class WordTokenizer:
         """Ids of all texts in a row, each closed by ``end``, and how many each has."""
         w = words(texts)
         index, distinct = w.ids()
-        flat, at, size = self.memory(distinct.to_pylist())
+        flat, at, size = self.memory(byte_list(distinct))
         n = size[index]
         total = np.concatenate([[0], np.cumsum(n)])
         counts = total[w.first[1:]] - total[w.first[:-1]]
@@ -308,40 +309,43 @@ def _checked_crcs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array([len(p) // width for p in payloads], pa.int32()), pa.array(crcs, pa.int64())], ["digest", "n", "crc"])
 
 
-def _crc_powers() -> list[list[int]]:
-    """Operators that append 2^k zero bytes to a crc32, as images of its 32 bits."""
-    one = [0xEDB88320, *(1 << i for i in range(31))]
-    bits = [one]
-    while len(bits) < 3:
-        bits.append([_apply(bits[-1], bits[-1][i]) for i in range(32)])
-    out = [[_apply(bits[2], bits[2][i]) for i in range(32)]]
-    while len(out) < 40:
-        out.append([_apply(out[-1], out[-1][i]) for i in range(32)])
-    return out
+def _times(m: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Images of crc values under an operator on their 32 bits."""
+    bits = (v[..., None] >> np.arange(32, dtype=np.uint32)) & np.uint32(1)
+    return np.bitwise_xor.reduce(np.where(bits.astype(bool), m, np.uint32(0)), axis=-1)
 
 
-def _apply(m: list[int], v: int) -> int:
-    out = i = 0
-    while v:
-        if v & 1:
-            out ^= m[i]
-        v >>= 1
-        i += 1
+def _crc_powers() -> list[np.ndarray]:
+    """Operators that append 2^k zero bytes to a crc32, as images of its 32 bits."""
+    m = np.array([0xEDB88320, *(1 << i for i in range(31))], np.uint32)
+    for _ in range(3):
+        m = _times(m, m)
+    out = [m]
+    while len(out) < 40:
+        out.append(_times(out[-1], out[-1]))
     return out
 
 
 POWERS = _crc_powers()
 
 
-def crc_join(a: int, b: int, size: int) -> int:
-    """crc32 of two byte strings in a row, from theirs and the second's size."""
+@lru_cache(maxsize=MOST + 1)
+def _append(size: int) -> list[list[int]]:
+    """The operator that appends size zero bytes, as a table for each of the four bytes of a crc."""
+    m = np.uint32(1) << np.arange(32, dtype=np.uint32)
     k = 0
     while size:
         if size & 1:
-            a = _apply(POWERS[k], a)
+            m = _times(POWERS[k], m)
         size >>= 1
         k += 1
-    return a ^ b
+    return [_times(m, np.arange(256, dtype=np.uint32) << np.uint32(8 * i)).tolist() for i in range(4)]
+
+
+def crc_join(a: int, b: int, size: int) -> int:
+    """crc32 of two byte strings in a row, from theirs and the second's size."""
+    t = _append(size)
+    return t[0][a & 255] ^ t[1][a >> 8 & 255] ^ t[2][a >> 16 & 255] ^ t[3][a >> 24] ^ b
 
 
 def _crcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
