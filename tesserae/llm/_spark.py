@@ -1,33 +1,14 @@
-"""Session helpers: checkpoints in the shared folder, and broadcasts behind a size check."""
+"""Session helpers: those of the engine, a folder that executors share, and names that don't clash."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
-#: A side is broadcast only if its measured rows times their width stay below this.
-BROADCAST_BYTES = 8 << 20
+from ..session import checkpoint, small_side
 
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the folder of ``spark.checkpoint.dir`` and cut its lineage there.
-
-    Only where neither the session nor the context names a folder (tests on one
-    machine) is one of our own set.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
-
-
-def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
-    """Mark a materialised side for broadcast if it is measured to be small; otherwise leave the join to Spark."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+__all__ = ["checkpoint", "free_name", "shared_folder", "small_side"]
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
