@@ -4,11 +4,20 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import functions as fn
-from ..model import DATA, PREFIXES
+from ..model import DATA, PREFIXES, Method
+from ..plans import plan_tasks
+from ..sources import list_files
+from .checksum import checksum_tasks
+
+
+def describe(spark: SparkSession, bucket: str, root: str, prefix: str, m: Method) -> DataFrame:
+    """The whole job: list what lies under root/bucket, plan its tasks, checksum them, and give the annotations in order."""
+    tasks = plan_tasks(list_files(spark, bucket, f"{root.rstrip('/')}/{bucket}", prefix), m)
+    return combine(checksum_tasks(tasks, root, m.algorithm))
 
 
 def combine(*parts: DataFrame) -> DataFrame:

@@ -11,8 +11,10 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..model import RDF_TYPE, ROBUSTNESS, classes, iri
+from .. import functions as fn
+from ..model import RDF_TYPE, ROBUSTNESS, classes, entity_schema, iri
 from ..session import inline
 
 REQUIRED, RANGE = iri("linkml:required"), iri("linkml:range")
@@ -161,6 +163,21 @@ def invalid_entities(entities: DataFrame, name: str, strict_is_part_of: bool = T
     return entities.select("id", F.explode(F.array_compact(F.array(*found))).alias("p")).select("id", "p.slot", "p.problem")
 
 
+def coerced(entities: DataFrame, name: str) -> DataFrame:
+    """The class's columns in their types: missing ones null, a scalar for a list as a list of one; a bad value is an error under ANSI mode."""
+    cols = []
+    for f in entity_schema(name).fields:
+        many = isinstance(f.dataType, T.ArrayType)
+        if f.name not in entities.columns:
+            c = F.array().cast(f.dataType) if many else F.lit(None).cast(f.dataType)
+        elif many and not isinstance(entities.schema[f.name].dataType, T.ArrayType):
+            c = fn.as_list(F.col(f.name))
+        else:
+            c = F.coalesce(F.col(f.name), F.array().cast(f.dataType)) if many else F.col(f.name).cast(f.dataType)
+        cols.append(c.alias(f.name))
+    return entities.select(*cols)
+
+
 def unknown_columns(entities: DataFrame, name: str) -> list[str]:
     """Columns that a closed class doesn't have."""
     return sorted(set(entities.columns) - {s.name for s in classes()[name].slots})

@@ -165,3 +165,17 @@ def test_stream_of_arriving_files(spark, store, tmp_path):
     q.awaitTermination()
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
     assert {r.checksum for r in rows} == {hashlib.sha256(p.read_bytes()).hexdigest() for p in (store / "b/x").iterdir()}
+
+
+def test_describe_a_prefix(spark, store):
+    rows = annotate.describe(spark, "b", str(store), "x/", METHODS["sha1"]).collect()
+    assert [(r.url, r.length, r.method) for r in rows] == [("s3://b/x/one.bin", 10, "sha1"), ("s3://b/x/two words.bin", 5000, "sha1")]
+    assert rows[0].checksum == hashlib.sha1((store / "b/x/one.bin").read_bytes()).hexdigest()
+
+
+def test_coercion(spark):
+    df = spark.createDataFrame([("dat:d", "dat:t", "5", "0.5", "dat:x")], "id string, hasType string, offset string, coverage string, hasDescriptor string")
+    r = checks.coerced(df, "Descriptor").first()
+    assert (r.offset, r.coverage, r.hasDescriptor, r.value, r.length) == (5, 0.5, ["dat:x"], None, None)
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        checks.coerced(df.withColumn("offset", F.lit("x")), "Descriptor").collect()
