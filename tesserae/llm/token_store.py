@@ -45,7 +45,7 @@ from .bpe import Memory, byte_chars, gather
 WINDOW, LEAST, MOST, MASK = 16, 128, 4096, np.uint64(511)
 DIGEST = 16
 FAN_BITS = 10
-SLICE = 4 << 20
+SLICE = 2 << 20
 PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^ \p{L}\p{N}]+")
 #: Distinct pre-tokens and words that a worker remembers.
 REMEMBER_PARTS, REMEMBER_WORDS = 600_000, 600_000
