@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 GIB = 1 << 30
 
-# --- hash methods -----------------------------------------------------------
+# Hash methods
 
 
 @dataclass(frozen=True)
@@ -38,21 +38,23 @@ def method_by_id(method_id: str) -> Method:
     return METHODS[method_id]
 
 
-# --- names ------------------------------------------------------------------
+# Names
 
 TERM, DATA = "voc", "dat"
+_W3, _W3ID = "http://www.w3.org/", "https://w3id.org/"
+_PURL, _QUDT = "http://purl.org/dc/", "http://qudt.org/"
 PREFIXES = {
     TERM: "https://example.org/descriptor/",
     DATA: "https://example.org/data/",
-    "linkml": "https://w3id.org/linkml/",
-    "rdf": "http://www.w3.org/1999/02/22-rdf-syntax-ns#",
-    "xml": "http://www.w3.org/XML/1998/namespace",
-    "xsd": "http://www.w3.org/2001/XMLSchema#",
-    "rdfs": "http://www.w3.org/2000/01/rdf-schema#",
-    "dct": "http://purl.org/dc/terms/",
-    "dcmi": "http://purl.org/dc/dcmitype/",
-    "qudt": "http://qudt.org/schema/qudt/",
-    "unit": "http://qudt.org/vocab/unit/",
+    "unit": _QUDT + "vocab/unit/",
+    "rdfs": _W3 + "2000/01/rdf-schema#",
+    "dcmi": _PURL + "dcmitype/",
+    "xsd": _W3 + "2001/XMLSchema#",
+    "qudt": _QUDT + "schema/qudt/",
+    "dct": _PURL + "terms/",
+    "xml": _W3 + "XML/1998/namespace",
+    "linkml": _W3ID + "linkml/",
+    "rdf": _W3 + "1999/02/22-rdf-syntax-ns#",
 }
 
 
@@ -63,9 +65,10 @@ def iri(curie: str, prefixes: dict[str, str] = PREFIXES) -> str:
 
 RDF_TYPE = iri("rdf:type")
 
-# --- classes ----------------------------------------------------------------
+# Classes
 
-ROBUSTNESS = ("EXTREMELY_HIGH", "VERY_HIGH", "HIGH", "MODERATE", "LOW", "VERY_LOW")
+#: Strongest first.
+ROBUSTNESS = tuple("EXTREMELY_HIGH VERY_HIGH HIGH MODERATE LOW VERY_LOW".split())
 
 
 @dataclass(frozen=True)
@@ -126,7 +129,7 @@ def entity_schema(name: str, strict_is_part_of: bool = True) -> T.StructType:
     return T.StructType(out)
 
 
-# --- rows -------------------------------------------------------------------
+# Rows
 
 OBJECTS = "bucket string, key string, last_modified timestamp, etag string, size long"
 TASKS = "task_num long, url string, size long, method string, block_size long, offset long"

@@ -82,7 +82,7 @@ def check_all(quads: DataFrame) -> DataFrame:
     )
 
 
-# --- shapes -----------------------------------------------------------------
+# Shapes
 
 
 def _slots() -> list[tuple]:
@@ -148,7 +148,7 @@ def shapes(quads: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [f(quads).select(F.lit(k).alias("constraint"), "graph", "subject", "class", "predicate") for k, f in parts.items()])
 
 
-# --- entity rows ------------------------------------------------------------
+# Entity rows
 
 
 def invalid_entities(entities: DataFrame, name: str, strict_is_part_of: bool = True) -> DataFrame:

@@ -72,10 +72,10 @@ def union(*graphs: DataFrame) -> DataFrame:
 def chain(items: DataFrame, descriptors: DataFrame, types: DataFrame, methods: DataFrame) -> DataFrame:
     """Item, its descriptors, their types and methods, by references."""
     i = items.select(F.col("id").alias("item"), F.col("label").alias("item_label"), F.explode("hasDescriptor").alias("descriptor"))
-    d = descriptors.select(F.col("id").alias("descriptor"), "hasType", "value", "offset", "length", "coverage")
+    d = descriptors.select(F.col("id").alias("descriptor"), "value", "coverage", "length", "offset", "hasType")
     t = types.select(F.col("id").alias("hasType"), F.col("label").alias("type_label"), "usesMethod")
     m = methods.select(F.col("id").alias("usesMethod"), F.col("label").alias("method_label"), "robustness")
-    return i.join(d, "descriptor").join(t, "hasType").join(m, "usesMethod").select("item", "item_label", "descriptor", "value", "offset", "length", "coverage", F.col("hasType").alias("type"), "type_label", F.col("usesMethod").alias("method"), "method_label", "robustness")
+    return i.join(d, "descriptor").join(t, "hasType").join(m, "usesMethod").select("item", "item_label", "descriptor", "coverage", "value", "length", "offset", F.col("hasType").alias("type"), "type_label", F.col("usesMethod").alias("method"), "method_label", "robustness")
 
 
 def closure(edges: DataFrame, starts: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:

@@ -34,7 +34,7 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-# --- views ------------------------------------------------------------------
+# Views
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -62,7 +62,7 @@ def human_sql(x: str) -> str:
     return _HUMAN.replace("{0}", x)
 
 
-# --- sources, listing -------------------------------------------------------
+# Sources, listing
 
 
 @query("src01_list_prefix", f"WITH {OBJECTS} SELECT bucket, key, CAST(size AS BIGINT) AS size FROM objects WHERE starts_with(key, 'src1')")
@@ -106,7 +106,7 @@ def _(spark, sf):
     return objects(spark, sf).select("key", checksum.range_checksum(F.col("content"), F.lit(100), F.lit(1000)).alias("checksum"))
 
 
-# --- scalars ----------------------------------------------------------------
+# Scalars
 
 
 @query("scl01_human_size", f"WITH {LISTING} SELECT key, {human_sql('size')} AS text, {human_sql('(size * 1000)')} AS larger, {human_sql('(size // 100000)')} AS smaller FROM listing")
@@ -185,7 +185,7 @@ def _(spark, sf):
     return objects(spark, sf).select("key", fn.digest(F.col("content"), "sha512").alias("checksum"))
 
 
-# --- planning ---------------------------------------------------------------
+# Planning
 
 
 @query("pln01_offsets", "SELECT c_custkey, unnest(range(0, CAST(c_custkey * 10 AS BIGINT), 1000)) AS \"offset\" FROM customer")
@@ -226,7 +226,7 @@ def _(spark, sf):
     return table(spark, sf, "part").select("p_partkey", fn.reversed_trimmed(F.concat("p_name", F.lit(" "))).alias("text"))
 
 
-# --- checksums, annotations -------------------------------------------------
+# Checksums, annotations
 
 _BLOCKS = f"""WITH {OBJECTS}, a AS (SELECT 's3://' || bucket || '/' || key AS url, o AS "offset", least(1024, size - o) AS length, 'md5-1kb' AS method, md5(content[o + 1 : o + 1024]) AS checksum
   FROM (SELECT *, unnest(range(0, greatest(size, 1), 1024)) AS o FROM objects))"""
@@ -268,7 +268,7 @@ def _(spark, sf):
     return annotate.descriptors(_annotations(spark, sf), sizes).drop("label", "hasDescriptor")
 
 
-# --- graph ------------------------------------------------------------------
+# Graph
 
 GRAPH = "https://example.org/graph"
 
@@ -393,7 +393,7 @@ def _(spark, sf):
     return rdf.closure(e.unionAll(inline(spark, [("r0", "r0")], "src string, dst string")))
 
 
-# --- checks -----------------------------------------------------------------
+# Checks
 
 
 def _values(rows: list[tuple], names: str) -> str:

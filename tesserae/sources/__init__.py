@@ -18,7 +18,7 @@ from ..model import OBJECTS, PREFIXES, QUADS, entity_schema
 CHUNK = 8192
 
 
-# --- objects ----------------------------------------------------------------
+# Objects
 
 
 def list_table(objects: DataFrame, prefix: str) -> DataFrame:
@@ -93,7 +93,7 @@ def read_range(path: str, offset: int, length: int | None) -> Iterator[bytes]:
             yield data
 
 
-# --- task files -------------------------------------------------------------
+# Task files
 
 
 def task_rows(lines: DataFrame) -> DataFrame:
@@ -108,7 +108,7 @@ def read_tasks(spark: SparkSession, path: str) -> DataFrame:
     return task_rows(spark.read.text(path))
 
 
-# --- RDF --------------------------------------------------------------------
+# RDF
 
 _NT = r'^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(?:<([^>]*)>|(_:\S+)|"((?:[^"\\]|\\.)*)"(?:\^\^<([^>]*)>|@([A-Za-z0-9-]+))?)\s*\.\s*(?:#.*)?$'
 
@@ -143,7 +143,7 @@ def read_ntriples(spark: SparkSession, path: str, graph: str | None = None) -> D
 
 
 _TOKEN = re.compile(r'\s+|#[^\n]*|(?P<iri><[^>]*>)|(?P<str>"""(?:[^"\\]|\\.|"(?!""))*"""|"(?:[^"\\\n]|\\.)*")|(?P<dt>\^\^)|(?P<at>@[A-Za-z][\w-]*)|(?P<num>[+-]?(?:\d+\.\d+|\d+)(?:[eE][+-]?\d+)?)|(?P<p>[;,.\[\]()])|(?P<name>(?:_|[A-Za-z][\w.-]*)?:[\w.%-]*(?<!\.)|a\b|true\b|false\b)')
-_XSD = "http://www.w3.org/2001/XMLSchema#"
+_XSD = PREFIXES["xsd"]
 _ESCAPE = re.compile(r"\\(u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|.)", re.S)
 
 
@@ -236,7 +236,7 @@ def read_turtle(spark: SparkSession, path: str, graph: str | None = None) -> Dat
     return spark.read.text(path, wholetext=True).mapInArrow(run, QUADS).dropDuplicates()
 
 
-# --- entities ---------------------------------------------------------------
+# Entities
 
 
 def read_json(spark: SparkSession, path: str, name: str) -> DataFrame:

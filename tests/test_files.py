@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserae import cli, sources
-from tesserae.model import METHODS, Method, iri
+from tesserae.model import METHODS, PREFIXES, Method, iri
 from tesserae.operators import annotate, checks, checksum, rdf
 from tesserae.plans import plan_tasks
 from tesserae.sources import sinks
@@ -13,15 +13,14 @@ from tesserae.streaming import annotate_stream, arriving_objects
 
 TTL = """@prefix voc: <https://example.org/descriptor/> . # names
 @prefix dat: <https://example.org/data/> .
-@prefix dct: <http://purl.org/dc/terms/> .
-@prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> .
-@prefix xsd: <http://www.w3.org/2001/XMLSchema#> .
 dat:i1 a voc:Item ; rdfs:label "A \\"short\\" file\\n"@en ; dct:isPartOf "https://example.org/set"^^xsd:anyURI ; voc:hasDescriptor dat:d1, dat:d2 .
 dat:d1 a voc:Descriptor ; voc:hasType dat:t ; voc:value "00ff" ; voc:offset 0 ; voc:length 4096 ; voc:coverage "1.0"^^xsd:float ; .
 dat:t a voc:DescriptorType ; rdfs:label "whole" ; voc:usesMethod dat:m .
 <https://example.org/data/m> a voc:Method ; rdfs:label "SHA256" ; voc:robustness "EXTREMELY_HIGH" .
 """
 
+TTL = "".join(f"@prefix {p}: <{PREFIXES[p]}> .\n" for p in ("xsd", "rdfs", "dct")) + TTL
+
 
 @pytest.fixture
 def store(tmp_path):
@@ -126,7 +125,7 @@ def test_closure_ends_in_cycles(spark):
 
 
 def test_entity_documents(spark, tmp_path):
-    (tmp_path / "m.yaml").write_text('# one\nid: "dat:m"\nlabel: "MD5"\nrobustness: "VERY_HIGH"\ncomment: >-\n  two\n  lines\n')
+    (tmp_path / "m.yaml").write_text('# one\nrobustness: "VERY_HIGH"\nid: "dat:m"\nlabel: "MD5"\ncomment: >-\n  two\n  lines\n')
     (tmp_path / "i.json").write_text('{"id": "dat:i", "label": "f", "hasDescriptor": ["dat:d"], "@type": "Item"}')
     m = sources.read_yaml(spark, str(tmp_path / "m.yaml"), "Method")
     assert m.first().asDict() == {"id": "dat:m", "label": "MD5", "comment": "two lines", "robustness": "VERY_HIGH"}
