@@ -126,8 +126,10 @@ def _new(x: np.ndarray, mask: np.ndarray) -> np.ndarray:
 
 
 def _compare_tiles(fp: np.ndarray, pop: np.ndarray, side: np.ndarray, mask: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Linked places of one large group ordered by population count; side: tile of each place, pairs count between two tiles (or within the only one)."""
-    two = side.min() != side.max()
+    """Linked places of one large group ordered by population count; side: tile of each place, pairs count between two tiles (or within one where it is negative)."""
+    two = side[0] >= 0
+    if two and side.min() == side.max():
+        return  # the other tile is empty
     for a in range(0, len(fp), TILE):
         for b in range(a, len(fp), TILE):
             if pop[b] - pop[min(a + TILE, len(fp)) - 1] > RADIUS:

@@ -60,6 +60,17 @@ def test_links_of_clustered_fingerprints(spark, hot):
     assert got == want
 
 
+@pytest.mark.parametrize("hot", [20, 50])
+def test_hot_tiles_with_empty_neighbours(spark, hot):
+    # 320 of one population count, so that tiles of over 64 have neighbours without rows; and one of three bits more.
+    low = [1 << i for i in range(20)]
+    fps = [(2**20 - 1) ^ a ^ (1 << b) for a in low for b in range(20, 36)] + [2**23 - 1]
+    signed = list(enumerate(fps))
+    df = spark.createDataFrame(signed, "doc_id long, fp long")
+    got = {r.fp: (r.n_near, r.component_id) for r in simhash.classes(df, hot).collect()}
+    assert got == {int(f, 16): (n, c) for _, f, n, c in brute(signed)}
+
+
 def test_representatives_keep_one_of_each_group(spark, documents, clashing):
     kept = simhash.representatives(documents).collect()
     rows = [(r.doc_id, one(r.text)) for r in documents.collect()]
