@@ -6,10 +6,12 @@ styles, comments); if a page has an article or main element, only those give
 text. What is left outside such an element may still be the site's template: all
 element subtrees outside articles are hashed, Spark counts on how many pages of
 a host each hash occurs, and blocks in a subtree that recurs on many pages of
-its host are deleted.
+its host are deleted. How many doesn't depend on the size of the host. A page is
+a url here (a row, where it has none), so a page that was read often isn't taken
+for a template of itself.
 
-Counts are combined before they are shuffled, so a host with a third of all
-pages is no hot spot. A page's html isn't shuffled; only the blocks of pages
+Of each subtree, no more pages than decide are listed before they are shuffled,
+so a host with a third of all pages is no hot spot. A page's html isn't shuffled; only the blocks of pages
 without an article meet their host's recurring hashes.
 
 Defined results: null or empty html gives an empty text; markup cut off at the
@@ -23,7 +25,6 @@ from __future__ import annotations
 import hashlib
 import html
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -33,8 +34,8 @@ from pyspark.sql import functions as F
 
 from ._spark import checkpoint
 
-#: A subtree is template if it is on so many pages of its host, and on this share of them.
-MIN_PAGES, MIN_SHARE = 8, 0.05
+#: A subtree is template if it is on so many pages of its host, whatever their share.
+MIN_PAGES = 8
 
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul option select".split())
 DROPPED = frozenset("head title nav header footer aside form script style noscript template iframe svg math button select option textarea input label object embed canvas audio video dialog menu".split())
@@ -182,7 +183,7 @@ def _host(url: str | None) -> str:
 
 
 _BLOCK = pa.struct([("text", pa.string()), ("path", pa.list_(pa.int64()))])
-_SURVEY = "host string, mark long, n long, page_id long, url string, blocks array<struct<text:string,path:array<long>>>, key binary"
+_SURVEY = "host string, mark long, on array<long>, page_id long, url string, blocks array<struct<text:string,path:array<long>>>, key binary"
 STEP = 256
 
 
@@ -195,15 +196,28 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             yield part, part.column("url").to_pylist(), pages, [any(p for _, p in x.blocks) for x in pages]
 
 
-def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of (host, mark), null marks counting pages, summed over some pages; and the pages that need them."""
+def _page(page_id: int | None, url: str | None, source: str | None) -> int:
+    """A number for the page that a row is of."""
+    return int.from_bytes(hashlib.blake2b(repr(url or (page_id, source)).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def _survey(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The pages that each (host, mark) is on, as far as `most` of a few hundred; and the pages that need them."""
     for part, urls, pages, unsure in _parsed(batches):
-        counts = Counter((_host(u), m) for u, x in zip(urls, pages) for m in (None, *x.marks))
         sources, ids = part.column("html").to_pylist(), part.column("page_id").to_pylist()
-        rows = [(h, m, n, None, None, None, None) for (h, m), n in counts.items()]
-        rows += [(_host(u), None, 0, i, u, [{"text": t, "path": p} for t, p in x.blocks], hashlib.md5(repr((u, y)).encode("utf-8", "surrogatepass")).digest()) for i, u, y, x, d in zip(ids, urls, sources, pages, unsure) if d]
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(_BLOCK), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["host", "mark", "n", "page_id", "url", "blocks", "key"])
+        on: dict[tuple[str, int], set[int]] = {}
+        for i, u, y, x in zip(ids, urls, sources, pages):
+            host, page = _host(u), _page(i, u, y)
+            for m in x.marks:
+                seen = on.setdefault((host, m), set())
+                if len(seen) < most:
+                    seen.add(page)
+        rows = [(h, m, list(seen), None, None, None, None) for (h, m), seen in on.items()]
+        rows += [(_host(u), None, None, i, u, [{"text": t, "path": p} for t, p in x.blocks], hashlib.md5(repr((u, y)).encode("utf-8", "surrogatepass")).digest()) for i, u, y, x, d in zip(ids, urls, sources, pages, unsure) if d]
+        if not rows:
+            continue
+        kinds = [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.string(), pa.list_(_BLOCK), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["host", "mark", "on", "page_id", "url", "blocks", "key"])
 
 
 def _sure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,34 +226,32 @@ def _sure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), texts], ["page_id", "url", "text"])
 
 
-def _recurring(survey: DataFrame, min_pages: int, min_share: float) -> DataFrame:
-    counts = survey.where(F.col("key").isNull()).groupBy("host", "mark").agg(F.sum("n").alias("n"))
-    hosts = counts.where(F.col("mark").isNull()).select(F.col("host").alias("h"), F.col("n").alias("pages"))
-    common = counts.where(F.col("mark").isNotNull() & (F.col("n") >= min_pages))
-    return common.join(hosts, F.col("host") == F.col("h")).where(F.col("n") >= min_share * F.col("pages")).select("host", "mark")
+def _recurring(survey: DataFrame, min_pages: int) -> DataFrame:
+    on = survey.where(F.col("key").isNull()).select("host", "mark", F.explode("on").alias("page")).distinct()
+    return on.groupBy("host", "mark").count().where(F.col("count") >= min_pages).select("host", "mark")
 
 
 def _slim(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, mark) of the subtrees that recur on many pages of their host."""
-    return _recurring(_slim(pages).mapInArrow(_survey, _SURVEY), min_pages, min_share)
+    return _recurring(_slim(pages).mapInArrow(lambda batches: _survey(batches, min_pages), _SURVEY), min_pages)
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """page_id, url, text and n_chars of every page.
 
     Pages are parsed twice: for the counts, written with the blocks of pages that
     depend on them, and for the texts of all others.
     """
     pages = _slim(pages)
-    survey = checkpoint(pages.mapInArrow(_survey, _SURVEY))
+    survey = checkpoint(pages.mapInArrow(lambda batches: _survey(batches, min_pages), _SURVEY))
     sure = pages.mapInArrow(_sure, "page_id long, url string, text string").where(F.col("text").isNotNull())
     unsure = survey.where(F.col("key").isNotNull()).select("page_id", "url", "host", "blocks", "key")
     near = unsure.select("key", "host", F.explode(F.array_distinct(F.flatten(F.col("blocks.path")))).alias("mark")).distinct()
-    bad = near.join(_recurring(survey, min_pages, min_share), ["host", "mark"]).groupBy("key").agg(F.collect_set("mark").alias("bad"))
+    bad = near.join(_recurring(survey, min_pages), ["host", "mark"]).groupBy("key").agg(F.collect_set("mark").alias("bad"))
     rest = unsure.join(bad, "key", "left")
     kept = F.filter("blocks", lambda b: ~F.arrays_overlap(b["path"], F.coalesce("bad", F.array().cast("array<long>"))))
     rest = rest.select("page_id", "url", F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n").alias("text"))

@@ -45,6 +45,25 @@ def test_template_subtrees_go_and_content_stays(spark):
     assert h.extract(df.limit(0)).count() == 0
 
 
+def test_a_large_host_does_not_loosen_the_rule(spark):
+    def page(i, *more):
+        return f"<body>{''.join(f'<div><p>{m}</p></div>' for m in more)}<section><p>own text {i}</p></section></body>"
+
+    # On 8 of 400 pages, on 7, and on 2 that were read ten times.
+    rows = [(i, f"http://big.example/{i}", page(i, *["notice"] * (i < 8), *["seven"] * (8 <= i < 15), *["twice"] * (20 <= i < 22))) for i in range(400)]
+    rows += [(1000 + 10 * i + k, *rows[i][1:]) for i in (20, 21) for k in range(9)] + [(2000 + i, None, page("x", "no url", i)) for i in range(8)]
+    got = {r.page_id: r.text for r in h.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    want = {i: "seven\n\n" * (8 <= i < 15) + "twice\n\n" * (20 <= i < 22) + f"own text {i}" for i in range(400)}
+    want |= {1000 + 10 * i + k: f"twice\n\nown text {i}" for i in (20, 21) for k in range(9)} | {2000 + i: str(i) for i in range(8)}
+    assert got == want
+
+
+def test_pages_without_elements(spark):
+    df = spark.createDataFrame([(1, None, None), (2, "http://a.example/", "")], "page_id long, url string, html string")
+    assert sorted((r.page_id, r.text) for r in h.extract(df).collect()) == [(1, ""), (2, "")]
+    assert h.templates(df).count() == 0
+
+
 def test_long_page_and_escapes(spark):
     body = "é" * 200_000
     df = spark.createDataFrame([(1, "u", f"<article><p>{H.escape(body)}</p>{'<div>' * 3000}deep</article>")], "page_id long, url string, html string")
