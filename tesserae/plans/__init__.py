@@ -38,28 +38,32 @@ def n_blocks(size: Column, m: Method) -> Column:
     return F.when(is_small(size, m), F.lit(0)).otherwise(own).cast("bigint")
 
 
-def prefix_sums(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
-    """Exclusive running sum of value in the given order, without one task for all rows.
+def prefix_sums(df: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
+    """Exclusive running sums in the given order (nulls first), without one task for all rows; sums: new column to the one summed.
 
     Rows are range-partitioned and written once; sums per partition give each
     its start, and only within a partition is anything ordered.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = checkpoint(df.repartitionByRange(n, *order)).withColumn("_part", F.spark_partition_id())
-    sums = placed.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    each = placed.groupBy("_part").agg(*(F.sum(c).alias(f"_sum_{out}") for out, c in sums.items()))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select(F.col("_part").alias("_p"), "_sum").withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
+    base = each.withColumnRenamed("_part", "_p").select("_p", *(F.coalesce(F.sum(f"_sum_{out}").over(before), F.lit(0)).alias(f"_base_{out}") for out in sums))
     inner = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = placed.withColumn("_in", F.coalesce(F.sum(value).over(inner), F.lit(0)))
-    rows = rows.join(small_side(checkpoint(base), 16), F.col("_part") == F.col("_p"))
-    return rows.withColumn(out, (F.col("_base") + F.col("_in")).cast("bigint")).drop("_part", "_p", "_base", "_in")
+    rows = placed.select("*", *(F.coalesce(F.sum(c).over(inner), F.lit(0)).alias(f"_in_{out}") for out, c in sums.items()))
+    rows = rows.join(small_side(checkpoint(base), 8 + 8 * len(sums)), F.col("_part") == F.col("_p"))
+    return rows.select(*df.columns, *((F.col(f"_base_{out}") + F.col(f"_in_{out}")).cast("bigint").alias(out) for out in sums))
 
 
 def plan_tasks(objects: DataFrame, m: Method) -> DataFrame:
-    """Task rows of a listing (bucket, key, size): url, full size, method, block size and offset, numbered from 1 in key order; small objects share the last task."""
-    o = objects.select("bucket", "key", "size").withColumn("_n", n_blocks(F.col("size"), m))
+    """Task rows of a listing (bucket, key, size): url, full size, method, block size and offset, numbered from 1 in key order; small objects share the last task.
+
+    The listing is read once, into the checkpoint folder; only objects with
+    tasks of their own are put in order.
+    """
+    o = checkpoint(objects.select("bucket", "key", "size").withColumn("_n", n_blocks(F.col("size"), m)))
     line = [fn.url(F.col("bucket"), F.col("key")).alias("url"), "size", F.lit(m.id).alias("method"), F.lit(m.block_size).cast("bigint").alias("block_size")]
-    large = prefix_sums(o.where(F.col("_n") > 0), ["key", "bucket"], "_n", "_before")
+    large = prefix_sums(o.where(F.col("_n") > 0), ["key", "bucket"], {"_before": "_n"})
     each = F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)
     large = large.select("*", F.explode(each).alias("_i")).select((F.col("_before") + F.col("_i") + 1).alias("task_num"), *line, (F.col("_i") * m.block_size).cast("bigint").alias("offset"))
     last = o.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint")).first()[0] + 1
