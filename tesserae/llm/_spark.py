@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 from ..session import checkpoint, small_side
 
-__all__ = ["checkpoint", "free_name", "shared_folder", "small_side"]
+__all__ = ["checkpoint", "delete", "free_name", "shared_folder", "small_side"]
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -20,6 +20,12 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    """Remove a folder of tables that is no longer read."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def free_name(base: str, columns: list[str]) -> str:
     """base, with underscores behind it if a column has that name."""
     while base in columns:

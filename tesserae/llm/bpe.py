@@ -18,11 +18,11 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +32,8 @@ from ._words import IS_SPACE, byte_list, raw, slices
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Symbols above which a pre-token is merged alone, with a heap.
 LONG = 512
-#: Distinct units that a worker remembers before it starts anew.
-REMEMBER = 300_000
+#: Bytes of distinct units and their ids that a worker remembers before it starts anew.
+REMEMBER = 24 << 20
 NONE = 1 << 40
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+", regex.V1)
 SPACES = b"\t\n\x0b\x0c\r "
@@ -55,6 +55,9 @@ class Bpe:
 
     def __init__(self, path: str) -> None:
         spec = json.load(open(path, encoding="utf-8"))
+        cut = spec["pre_tokenizer"] or {}
+        if spec["normalizer"] or (cut.get("type"), cut.get("add_prefix_space"), cut.get("use_regex")) != ("ByteLevel", False, True):
+            raise ValueError(f"{path}: only byte-level pre-tokens without a normalizer and a prefix space are known")
         vocab = spec["model"]["vocab"]
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         to_byte = byte_chars()
@@ -186,36 +189,33 @@ def gather(flat: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class Memory:
-    """Ids of the strings that a worker has met; ``encode`` gives those of new ones."""
+    """Ids of the strings that a worker has met, in flat arrays; ``encode`` gives those of new ones."""
 
-    def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], most: int = REMEMBER) -> None:
+    def __init__(self, encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], most: int = REMEMBER) -> None:
         self.encode, self.most = encode, most
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict = {}
-        self.flat, self.at, self.size = array("i"), array("q"), array("q")
+        self.known = pa.array([], pa.large_binary())
+        self.flat, self.at, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-    def __call__(self, units: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(flat ids, where each unit's begin, how many they are)."""
-        if len(self.known) > self.most:
+    def __call__(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(flat ids, where each unit's begin, how many they are); the units (large binary) differ from each other."""
+        if self.known.nbytes + self.flat.nbytes + self.at.nbytes + self.size.nbytes > self.most:
             self.clear()
-        known = self.known
-        places = list(map(known.get, units))
-        new = [u for u, p in zip(units, places) if p is None] if None in places else []
-        if new:
+        place = pc.index_in(units, value_set=self.known)
+        index = pc.fill_null(place, 0).to_numpy(zero_copy_only=False)
+        if place.null_count:
+            missing = place.is_null()
+            new = units.filter(missing)
             ids, counts = self.encode(new)
-            base = len(self.flat)
-            self.at.frombytes((base + np.cumsum(counts) - counts).astype(np.int64).tobytes())
-            self.size.frombytes(counts.astype(np.int64).tobytes())
-            self.flat.frombytes(ids.astype(np.int32).tobytes())
-            known.update(zip(new, range(len(known), len(known) + len(new))))
-            places = list(map(known.get, units))
-        index = np.array(places, np.int64)
-        copy = lambda a, kind: np.frombuffer(a, kind).copy() if len(a) else np.zeros(0, kind)
-        flat = copy(self.flat, np.int32) if new or not hasattr(self, "_flat") else self._flat
-        self._flat = flat
-        return flat, copy(self.at, np.int64)[index], copy(self.size, np.int64)[index]
+            index = index.copy()
+            index[missing.to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(len(new))
+            self.known = pa.concat_arrays([self.known, new])
+            self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(counts) - counts])
+            self.size = np.concatenate([self.size, counts.astype(np.int32)])
+            self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
+        return self.flat, self.at[index], self.size[index].astype(np.int64)
 
 
 class Encoder:
@@ -223,13 +223,13 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         self.bpe = Bpe(path)
-        self.parts = Memory(self.bpe.merge)
+        self.parts = Memory(lambda parts: self.bpe.merge(byte_list(parts)))
         self.units = Memory(self._units)
 
     def _pieces(self, cuts: list[list[bytes | int]]) -> tuple[np.ndarray, np.ndarray]:
         each = [p for c in cuts for p in c]
         plain = list({p for p in each if isinstance(p, bytes)})
-        flat, at, size = self.parts(plain)
+        flat, at, size = self.parts(pa.array(plain, pa.large_binary()))
         where = dict(zip(plain, range(len(plain))))
         index = np.array([where[p] if isinstance(p, bytes) else -1 - p for p in each], np.int64)
         special = index < 0
@@ -243,14 +243,15 @@ class Encoder:
         ends = np.cumsum(per)
         return ids, total[ends] - total[ends - per]
 
-    def _units(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _units(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Units that are white space and a word can be cut in one go: no pre-token crosses from one to the next."""
+        units = byte_list(distinct)
         counts = np.zeros(len(units), np.int64)
         alone = np.array([not (u[0] in SPACES and u[-1] not in SPACES) for u in units], bool)
         rest = [units[i] for i in np.flatnonzero(~alone)]
         parts = pa.array(PATTERN.findall(b"".join(rest).decode()), pa.large_string())
         coded = parts.dictionary_encode()
-        flat, at, size = self.parts(byte_list(coded.dictionary))
+        flat, at, size = self.parts(coded.dictionary.cast(pa.large_binary()))
         index = coded.indices.to_numpy(zero_copy_only=False)
         ids = gather(flat, at[index], size[index])
         ends = np.searchsorted(raw(parts)[1], np.cumsum([len(u) for u in rest]))
@@ -286,7 +287,7 @@ class Encoder:
             used = np.repeat(~whole, np.diff(first))
             coded = packed.filter(pa.array(used)).dictionary_encode()
             first = np.concatenate([[0], np.cumsum(np.where(whole, 0, np.diff(first)))])
-        flat, at, size = self.units(byte_list(coded.dictionary))
+        flat, at, size = self.units(coded.dictionary)
         index = coded.indices.to_numpy(zero_copy_only=False)
         ids = gather(flat, at[index], size[index])
         total = np.concatenate([[0], np.cumsum(size[index])])

@@ -39,8 +39,7 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = token_store.write(documents(spark, sf_dir), shared_folder(spark, "token-store"), WORD_BPE, end=2)
-    return token_store.read_digests(spark, folder)
+    return token_store.digests(documents(spark, sf_dir), shared_folder(spark, "token-store"), WORD_BPE, end=2)
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,26 +6,30 @@ they stand. A chunk is stored once, under the digest of its bytes. A store is a
 folder of three tables:
 
 ``chunks``    digest, n, payload (ids as little-endian integers of ``width`` bytes)
-``recipes``   doc_id, start, n_tokens, digests, leaf - by ascending doc_id, files by id range
-``manifest``  level, node, n_docs, n_tokens, root - Merkle nodes of 1,024 leaves, then of 1,024 nodes, up to one
+``recipes``   position, doc_id, start, n_tokens, digests, leaf - by ascending doc_id
+``manifest``  level, node, n_docs, start, n_tokens, root - Merkle nodes of 1,024 leaves, then of 1,024 nodes, up to one
 
-``leaf`` is the digest of a document's id, length and chunk digests. Reading
-checks every chunk against its digest and the recipes against the manifest.
+``leaf`` is the digest of all that a recipe says: the document's place in order
+and its id, where its ids start, how many they are, and its chunks. Reading
+checks every chunk against its digest, every recipe against its leaf, the leaves
+against the manifest, and that each document starts where the one before ends.
 
 Texts are tokenized once, into a staging table in the store's folder, from which
 recipes and chunks are made and which is then deleted. A task stages a chunk
-once, however many documents hold it, so a passage that a third of all documents
-share moves no more often than there are tasks.
+about once, however many documents hold it, so a passage that a third of all
+documents share moves no more often than there are tasks; and it is looked up
+once for every few thousand documents. Places in order are sums over ranges, so
+no id, and no null, brings its rows together.
 
 Defined results: null and empty texts have the end id only; rows that share a
-doc_id follow each other by leaf; a null doc_id comes first; extra columns are
-ignored; an empty table gives an empty store.
+doc_id follow each other by their chunks' digests; a null doc_id comes first;
+extra columns are ignored; an empty table gives an empty store.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -35,11 +39,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import checkpoint, small_side
-from ._words import byte_list, mix64, slices, words
+from ..plans import prefix_sums
+from ._spark import checkpoint, delete
+from ._words import byte_list, mix64, raw, slices, words
 from .bpe import Memory, byte_chars, gather
 
 WINDOW, LEAST, MOST, MASK = 16, 128, 4096, np.uint64(511)
@@ -47,8 +52,11 @@ DIGEST = 16
 FAN_BITS = 10
 SLICE = 2 << 20
 PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^ \p{L}\p{N}]+")
-#: Distinct pre-tokens and words that a worker remembers.
-REMEMBER_PARTS, REMEMBER_WORDS = 600_000, 600_000
+#: Normalizer and pre-tokenizer of the files for which words and PARTS cut as the library does.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+CUT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+#: Digests that a task remembers as staged before it starts anew.
+SEEN = 1 << 17
 _Q = 0x9E3779B97F4A7C15
 _Q_INVERSE = pow(_Q, -1, 2**64)
 
@@ -65,6 +73,10 @@ class WordTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        spec = json.load(open(path, encoding="utf-8"))
+        steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        if (spec["normalizer"] or {}).get("normalizers") != NORMALIZER or steps[:1] != [CUT] or [x["type"] for x in steps[1:]] != ["ByteLevel"]:
+            raise ValueError(f"{path}: another normalizer or pre-tokenizer than that of lower-cased words")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -72,15 +84,16 @@ class WordTokenizer:
         #: What the short way doesn't take: beyond Latin Extended-B normalization and case have more to them.
         self.odd = regex.compile("|".join([*map(regex.escape, special), r"[^ !-~\u00a1-\u024f]"]))
         self.letter = {b: c for c, b in byte_chars().items()}
-        self.memory = Memory(self._encode, REMEMBER_WORDS)
-        self.parts = Memory(self._parts, REMEMBER_PARTS)
+        self.memory = Memory(self._encode)
+        self.parts = Memory(self._parts)
 
-    def _parts(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         tokenize, letter = self.tokenizer.model.tokenize, self.letter
-        ids = [[t.id for t in tokenize("".join([letter[b] for b in p]))] for p in parts]
+        ids = [[t.id for t in tokenize("".join([letter[b] for b in p]))] for p in byte_list(parts)]
         return np.array([i for x in ids for i in x], np.int64), np.array([len(x) for x in ids], np.int64)
 
-    def _encode(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        units = byte_list(distinct)
         text = b" ".join(units).decode()
         counts = np.zeros(len(units), np.int64)
         odd = np.zeros(len(units), bool)
@@ -90,7 +103,7 @@ class WordTokenizer:
         text = text.lower()
         parts = pa.array(PARTS.findall(text), pa.large_string())
         coded = parts.dictionary_encode()
-        flat, at, size = self.parts(byte_list(coded.dictionary))
+        flat, at, size = self.parts(coded.dictionary.cast(pa.large_binary()))
         index = coded.indices.to_numpy(zero_copy_only=False)
         ids = gather(flat, at[index], size[index])
         ends = np.cumsum([len(w) for w in text.split(" ")]) if text else np.zeros(0, np.int64)
@@ -108,7 +121,7 @@ class WordTokenizer:
         """Ids of all texts in a row, each closed by ``end``, and how many each has."""
         w = words(texts)
         index, distinct = w.ids()
-        flat, at, size = self.memory(byte_list(distinct))
+        flat, at, size = self.memory(distinct)
         n = size[index]
         total = np.concatenate([[0], np.cumsum(n)])
         counts = total[w.first[1:]] - total[w.first[:-1]]
@@ -160,10 +173,6 @@ def digest(data: bytes) -> bytes:
     return blake2b(data, digest_size=DIGEST).digest()
 
 
-def leaf(doc_id: int | None, n: int, digests: bytes) -> bytes:
-    return digest(struct.pack("<?qq", doc_id is not None, doc_id or 0, n) + digests)
-
-
 def _streams(batches: Iterator[pa.RecordBatch], path: str, end: int, width: int) -> Iterator[tuple]:
     """(rows, counts, chunk sizes, chunks of each, bytes of all ids)."""
     tokenizer = worker_tokenizer(path)
@@ -180,7 +189,7 @@ def _pieces(data: bytes, sizes: np.ndarray, width: int) -> list[bytes]:
 
 
 def staged(docs: DataFrame, path: str, end: int, width: int) -> DataFrame:
-    """Every document's recipe, and the bytes of those of its chunks that its task hasn't met before.
+    """Every document's recipe, and the bytes of those of its chunks that its task doesn't remember.
 
     sizes: ids of each chunk; fresh: 1 for each whose bytes are in payload.
     """
@@ -188,6 +197,8 @@ def staged(docs: DataFrame, path: str, end: int, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for rows, counts, sizes, each, data in _streams(batches, path, end, width):
+            if len(seen) > SEEN:
+                seen.clear()
             pieces = _pieces(data, sizes, width)
             keys = [digest(p) for p in pieces]
             fresh = bytearray(len(keys))
@@ -197,25 +208,22 @@ def staged(docs: DataFrame, path: str, end: int, width: int) -> DataFrame:
                     fresh[i] = 1
             ends = np.cumsum(each).tolist()
             spans = [*zip([0, *ends], ends)]
-            lists = [b"".join(keys[a:b]) for a, b in spans]
-            leaves = [leaf(d, n, k) for d, n, k in zip(rows.column("doc_id").to_pylist(), counts.tolist(), lists)]
             lengths = sizes.astype("<i4")
             columns = [
                 rows.column("doc_id"),
                 pa.array(counts),
-                pa.array(lists, pa.binary()),
-                pa.array(leaves, pa.binary()),
+                pa.array([b"".join(keys[a:b]) for a, b in spans], pa.binary()),
                 pa.array([lengths[a:b].tobytes() for a, b in spans], pa.binary()),
                 pa.array([bytes(fresh[a:b]) for a, b in spans], pa.binary()),
                 pa.array([b"".join([p for p, f in zip(pieces[a:b], fresh[a:b]) if f]) for a, b in spans], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "digests", "leaf", "sizes", "fresh", "payload"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "digests", "sizes", "fresh", "payload"])
 
-    return docs.mapInArrow(run, "doc_id long, n_tokens long, digests binary, leaf binary, sizes binary, fresh binary, payload binary")
+    return docs.mapInArrow(run, "doc_id long, n_tokens long, digests binary, sizes binary, fresh binary, payload binary")
 
 
 def chunks(stage: DataFrame, width: int) -> DataFrame:
-    """Every distinct chunk once."""
+    """Every distinct chunk once: one exchange by digest, in which equal ones become neighbours."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,54 +237,35 @@ def chunks(stage: DataFrame, width: int) -> DataFrame:
             k, n, p = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.binary()), pa.array(n, pa.int32()), pa.array(p, pa.binary())], ["digest", "n", "payload"])
 
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for batch in batches:
-            fresh = []
-            for k in batch.column("digest").to_pylist():
-                fresh.append(k not in seen)
-                seen.add(k)
-            yield batch.filter(pa.array(fresh, pa.bool_()))
-
-    schema = "digest binary, n int, payload binary"
-    return stage.select("digests", "sizes", "fresh", "payload").mapInArrow(emit, schema).repartition(_parts(stage), "digest").mapInArrow(once, schema)
-
-
-def _parts(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = stage.select("digests", "sizes", "fresh", "payload").mapInArrow(emit, "digest binary, n int, payload binary")
+    n = int(stage.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "digest").groupBy("digest").agg(F.first("n").alias("n"), F.first("payload").alias("payload"))
 
 
-def _placed(made: DataFrame) -> DataFrame:
-    """Recipes with ``start``: sums of blocks of neighbouring ids, then of the documents before within the block."""
-    block = F.shiftright(F.coalesce(F.col("doc_id"), F.lit(-(2**63))), FAN_BITS)
-    made = made.withColumn("block", block)
-    sums = made.groupBy("block").agg(F.sum("n_tokens").alias("sum"))
-    sums = sums.select(F.col("block").alias("b"), F.coalesce(F.sum("sum").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    inner = Window.partitionBy("block").orderBy(F.col("doc_id").asc_nulls_first(), "leaf").rowsBetween(Window.unboundedPreceding, -1)
-    made = made.withColumn("before", F.coalesce(F.sum("n_tokens").over(inner), F.lit(0)))
-    made = made.join(small_side(checkpoint(sums), 16), F.col("block") == F.col("b"))
-    return made.select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "digests", "leaf")
+def _leaf() -> Column:
+    """Digest of all that a recipe says."""
+    number = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
+    known = F.when(F.col("doc_id").isNull(), F.lit(b"\x00")).otherwise(F.lit(b"\x01"))
+    said = F.concat(number(F.col("position")), known, number(F.coalesce("doc_id", F.lit(0))), number(F.col("start")), number(F.col("n_tokens")), "digests")
+    return F.unhex(F.sha2(said, 256))
 
 
-def _nodes(t: pa.Table) -> pa.Table:
-    t = t.sort_by([("at", "ascending"), ("root", "ascending")])
-    root = digest(b"".join(t["root"].to_pylist()))
-    return pa.table({"node": t["node"].slice(0, 1), "n_docs": [sum(t["n_docs"].to_pylist())], "n_tokens": [sum(t["n_tokens"].to_pylist())], "root": pa.array([root], pa.binary())})
-
-
-def merkle(table: DataFrame) -> DataFrame:
-    """All nodes over the recipes; a node is named by its place in its level."""
-    # Ids as unsigned numbers in the same order, so that all nodes meet in one.
-    place = F.coalesce("doc_id", F.lit(-(2**63))).bitwiseXOR(F.lit(-(2**63)))
-    level = table.select(F.shiftrightunsigned(place, FAN_BITS).alias("node"), F.col("start").alias("at"), F.lit(1).cast("long").alias("n_docs"), "n_tokens", F.col("leaf").alias("root"))
+def merkle(recipes: DataFrame) -> DataFrame:
+    """All nodes over the recipes, by their places, with whether their documents follow each other without a gap."""
+    level = recipes.select(F.col("position").alias("node"), F.lit(1).cast("long").alias("n_docs"), "start", "n_tokens", F.col("leaf").alias("root"))
     out, depth = None, 0
     while True:
-        got = checkpoint(level.groupBy("node").applyInArrow(_nodes, "node long, n_docs long, n_tokens long, root binary"))
-        here = got.select(F.lit(depth).alias("level"), "node", "n_docs", "n_tokens", "root")
+        kids = F.sort_array(F.collect_list(F.struct("node", "start", "n_tokens", "root"))).alias("kids")
+        got = level.groupBy(F.shiftright("node", FAN_BITS).alias("node")).agg(F.sum("n_docs").alias("n_docs"), F.min("start").alias("start"), F.sum("n_tokens").alias("n_tokens"), kids)
+        root = F.unhex(F.sha2(F.unhex(F.array_join(F.transform("kids", lambda k: F.hex(k["root"])), "")), 256))
+        others = F.size("kids") - 1
+        joined = F.forall(F.zip_with(F.slice("kids", 1, others), F.slice("kids", 2, others), lambda a, b: a["start"] + a["n_tokens"] == b["start"]), lambda x: x)
+        got = checkpoint(got.select("node", "n_docs", "start", "n_tokens", root.alias("root"), joined.alias("joined")))
+        here = got.select(F.lit(depth).alias("level"), "*")
         out = here if out is None else out.unionAll(here)
         if got.count() <= 1:
             return out
-        level, depth = got.select(F.shiftright("node", FAN_BITS).alias("node"), F.col("node").alias("at"), "n_docs", "n_tokens", "root"), depth + 1
+        level, depth = got.drop("joined"), depth + 1
 
 
 def write(docs: DataFrame, folder: str, path: str, end: int, width: int = 2) -> str:
@@ -285,12 +274,12 @@ def write(docs: DataFrame, folder: str, path: str, end: int, width: int = 2) ->
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     staged(docs, path, end, width).write.option("compression", "zstd").parquet(f"{folder}/stage")
     stage = spark.read.parquet(f"{folder}/stage")
-    placed = _placed(stage.select("doc_id", "n_tokens", "digests", "leaf"))
-    placed.repartitionByRange(_parts(docs), F.col("start")).sortWithinPartitions("start").write.option("compression", "zstd").parquet(f"{folder}/recipes")
+    placed = prefix_sums(stage.select("doc_id", "n_tokens", "digests", F.lit(1).cast("long").alias("one")), ["doc_id", "digests"], {"start": "n_tokens", "position": "one"})
+    placed = placed.select("position", "doc_id", "start", "n_tokens", "digests").withColumn("leaf", _leaf())
+    placed.sortWithinPartitions("position").write.option("compression", "zstd").parquet(f"{folder}/recipes")
     chunks(stage, width).write.option("compression", "zstd").parquet(f"{folder}/chunks")
-    merkle(spark.read.parquet(f"{folder}/recipes")).withColumn("width", F.lit(width)).write.parquet(f"{folder}/manifest")
-    place = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/stage")
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    delete(spark, f"{folder}/stage")
+    merkle(spark.read.parquet(f"{folder}/recipes")).drop("joined").withColumn("width", F.lit(width)).write.parquet(f"{folder}/manifest")
     return folder
 
 
@@ -364,29 +353,49 @@ def _crcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(out, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
-def _exploded(spark: SparkSession, folder: str) -> DataFrame:
-    r = spark.read.parquet(f"{folder}/recipes")
-    keys = F.transform(F.sequence(F.lit(0), F.expr(f"int(length(digests) div {DIGEST}) - 1")), lambda i: F.substring(F.col("digests"), i * DIGEST + 1, F.lit(DIGEST)))
-    return r.select("doc_id", "start", "n_tokens", F.posexplode(keys).alias("at", "digest"))
+def _uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each chunk of a batch of recipes once, with all the places where it is used."""
+    names = ("position", "doc_id", "start", "n_tokens")
+    for batch in batches:
+        buf, offs = raw(batch.column("digests").cast(pa.large_binary()))
+        each = np.diff(offs) // DIGEST
+        n = int(each.sum())
+        keys = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int64) * DIGEST), pa.py_buffer(buf)]).dictionary_encode()
+        which = keys.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(which, kind="stable")
+        owner = np.repeat(np.arange(batch.num_rows), each)
+        at = np.arange(n) - np.repeat(np.cumsum(each) - each, each)
+        used = batch.select(names).take(pa.array(owner[order]))
+        places = pa.StructArray.from_arrays([*used.columns, pa.array(at[order].astype(np.int32))], [*names, "at"])
+        ends = np.concatenate([[0], np.cumsum(np.bincount(which, minlength=len(keys.dictionary)))]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([keys.dictionary.cast(pa.binary()), pa.ListArray.from_arrays(pa.array(ends), places)], ["digest", "on"])
+
+
+def _looked_up(spark: SparkSession, folder: str, stored: DataFrame) -> DataFrame:
+    """A row for every chunk of every recipe with what ``stored`` has of it, null if nothing."""
+    kind = "digest binary, on array<struct<position:long,doc_id:long,start:long,n_tokens:long,at:int>>"
+    uses = spark.read.parquet(f"{folder}/recipes").select("position", "doc_id", "start", "n_tokens", "digests").mapInArrow(_uses, kind)
+    rows = uses.join(stored, "digest", "left").select(F.explode("on").alias("p"), *(c for c in stored.columns if c != "digest"))
+    return rows.select("p.*", *(c for c in rows.columns if c != "p"))
 
 
 def verify(spark: SparkSession, folder: str) -> None:
-    """Raise ``Damaged`` unless recipes, leaves and Merkle nodes agree."""
-    written = spark.read.parquet(f"{folder}/manifest").drop("width")
-    r = spark.read.parquet(f"{folder}/recipes")
-
-    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for d, n, k, x in zip(*(b.column(c).to_pylist() for c in ("doc_id", "n_tokens", "digests", "leaf"))):
-                if leaf(d, n, k) != x:
-                    raise Damaged(f"recipe of document {d}")
-            yield b
-
-    again = merkle(r.mapInArrow(leaves, r.schema))
+    """Raise ``Damaged`` unless recipes, leaves and Merkle nodes agree, and documents follow each other from 0 without a gap."""
+    wrong = F.raise_error(F.concat(F.lit("Damaged: recipe of document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).cast("binary")
+    again = merkle(spark.read.parquet(f"{folder}/recipes").withColumn("leaf", F.when(F.col("leaf") == _leaf(), F.col("leaf")).otherwise(wrong)))
+    bad = again.where(~F.col("joined") | (F.col("node") == 0) & (F.col("start") != 0))
+    if bad.head(1):
+        raise Damaged("documents don't follow each other")
+    again = again.drop("joined")
+    written = spark.read.parquet(f"{folder}/manifest").select(*again.columns)
     if written.exceptAll(again).unionAll(again.exceptAll(written)).head(1):
         raise Damaged("the manifest differs")
 
 
+def _width(spark: SparkSession, folder: str) -> int:
+    return spark.read.parquet(f"{folder}/manifest").select(F.coalesce(F.max("width"), F.lit(2))).first()[0]
+
+
 def read_digests(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens and crc32 of every document's ids, from the files.
 
@@ -394,22 +403,43 @@ def read_digests(spark: SparkSession, folder: str) -> DataFrame:
     from those of its chunks.
     """
     verify(spark, folder)
-    width = spark.read.parquet(f"{folder}/manifest").select(F.coalesce(F.max("width"), F.lit(2))).first()[0]
+    width = _width(spark, folder)
     crcs = spark.read.parquet(f"{folder}/chunks").mapInArrow(lambda b: _checked_crcs(b, width), "digest binary, n int, crc long")
-    parts = _exploded(spark, folder).join(crcs, "digest", "left")
-    docs = parts.groupBy("doc_id", "start", "n_tokens").agg(F.sort_array(F.collect_list(F.struct("at", "n", "crc"))).alias("parts"))
+    docs = _looked_up(spark, folder, crcs).groupBy("position", "doc_id", "start", "n_tokens").agg(F.sort_array(F.collect_list(F.struct("at", "n", "crc"))).alias("parts"))
     return docs.mapInArrow(_crcs, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def reconstruct(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, start and ids of every document."""
-    width = spark.read.parquet(f"{folder}/manifest").select(F.coalesce(F.max("width"), F.lit(2))).first()[0]
-    parts = _exploded(spark, folder).join(spark.read.parquet(f"{folder}/chunks"), "digest", "left")
-    docs = parts.groupBy("doc_id", "start").agg(F.sort_array(F.collect_list(F.struct("at", "payload"))).alias("parts"))
+    """doc_id, start and ids of every document; each chunk is checked against its digest."""
+    width = _width(spark, folder)
+
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, p in zip(b.column("digest").to_pylist(), b.column("payload").to_pylist()):
+                if digest(p) != k:
+                    raise Damaged(f"chunk {k.hex()}")
+            yield b
+
+    stored = spark.read.parquet(f"{folder}/chunks").select("digest", "payload").mapInArrow(checked, "digest binary, payload binary")
+    docs = _looked_up(spark, folder, stored).groupBy("position", "doc_id", "start", "n_tokens").agg(F.sort_array(F.collect_list(F.struct("at", "payload"))).alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = [np.frombuffer(b"".join(p["payload"] for p in parts), f"<u{width}").astype(np.int64) for parts in b.column("parts").to_pylist()]
+            ids = []
+            for want, parts in zip(b.column("n_tokens").to_pylist(), b.column("parts").to_pylist()):
+                if any(p["payload"] is None for p in parts):
+                    raise Damaged("a recipe names a chunk that isn't stored")
+                ids.append(np.frombuffer(b"".join(p["payload"] for p in parts), f"<u{width}").astype(np.int64))
+                if len(ids[-1]) != want:
+                    raise Damaged("a recipe's chunks have another length")
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), pa.array(ids, pa.list_(pa.int64()))], ["doc_id", "start", "ids"])
 
     return docs.mapInArrow(run, "doc_id long, start long, ids array<long>")
+
+
+def digests(docs: DataFrame, folder: str, path: str, end: int) -> DataFrame:
+    """Write a store, read its documents' digests back from the files, and delete it."""
+    spark = docs.sparkSession
+    out = checkpoint(read_digests(spark, write(docs, folder, path, end)))
+    delete(spark, folder)
+    return out

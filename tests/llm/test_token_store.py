@@ -59,18 +59,60 @@ def test_store_round_trip(spark, clashing, tmp_path):
     assert c.count() == c.select("digest").distinct().count()
 
 
-def test_damage_is_found(spark, documents, tmp_path):
-    folder = s.write(documents.where("doc_id < 20"), str(tmp_path / "store"), PATH, 2)
-    r = spark.read.parquet(f"{folder}/recipes").selectExpr("doc_id", "start", "n_tokens", "leaf", "if(doc_id = 3, reverse(digests), digests) digests")
-    bad = str(tmp_path / "bad")
-    spark.read.parquet(f"{folder}/manifest").write.parquet(f"{bad}/manifest")
-    r.write.parquet(f"{bad}/recipes")
-    spark.read.parquet(f"{folder}/chunks").selectExpr("digest", "n", "concat(payload, x'0000') payload").write.parquet(f"{bad}/chunks")
-    with pytest.raises(Exception, match="recipe of document 3"):
-        s.verify(spark, bad)
-    spark.read.parquet(f"{folder}/recipes").write.mode("overwrite").parquet(f"{bad}/recipes")
-    with pytest.raises(Exception, match="chunk "):
-        s.read_digests(spark, bad).collect()
+@pytest.fixture(scope="module")
+def sound(spark, documents, tmp_path_factory):
+    return s.write(documents.where("doc_id < 20"), str(tmp_path_factory.mktemp("store") / "store"), PATH, 2)
+
+
+@pytest.mark.parametrize(
+    "table, change, says",
+    [
+        ("recipes", "* except (digests), if(doc_id = 3, reverse(digests), digests) digests", "recipe of document 3"),
+        ("recipes", "* except (start), start + 7 start", "recipe of document"),
+        ("recipes", "* except (doc_id), if(doc_id = 4, 400, doc_id) doc_id", "recipe of document 400"),
+        ("chunks", "digest, n, concat(payload, x'0000') payload", "chunk "),
+        ("chunks", "unhex(md5(digest)) digest, n, payload", "chunk "),
+        ("manifest", "* except (n_tokens), n_tokens + 1 n_tokens", "manifest differs"),
+    ],
+)
+def test_damage_is_found(spark, sound, tmp_path, table, change, says):
+    for t in ("recipes", "chunks", "manifest"):
+        spark.sql(f"SELECT {change if t == table else '*'} FROM parquet.`{sound}/{t}`").write.parquet(str(tmp_path / t))
+    with pytest.raises(Exception, match=says):
+        s.read_digests(spark, str(tmp_path)).collect()
+
+
+@pytest.mark.parametrize("shift", ["start + 7", "if(position >= 5, start + 7, start)"])
+def test_moved_starts_are_found_even_with_fitting_leaves(spark, sound, tmp_path, shift):
+    moved = spark.read.parquet(f"{sound}/recipes").selectExpr("position", "doc_id", f"{shift} start", "n_tokens", "digests").withColumn("leaf", s._leaf())
+    moved.write.parquet(str(tmp_path / "recipes"))
+    s.merkle(spark.read.parquet(str(tmp_path / "recipes"))).drop("joined").selectExpr("*", "2 width").write.parquet(str(tmp_path / "manifest"))
+    with pytest.raises(s.Damaged, match="follow"):
+        s.verify(spark, str(tmp_path))
+
+
+def test_missing_chunk_is_found(spark, sound, tmp_path):
+    for t in ("recipes", "manifest"):
+        spark.read.parquet(f"{sound}/{t}").write.parquet(str(tmp_path / t))
+    spark.read.parquet(f"{sound}/chunks").orderBy("digest").offset(1).write.parquet(str(tmp_path / "chunks"))
+    for read in (s.read_digests, s.reconstruct):
+        with pytest.raises(Exception, match="isn't stored"):
+            read(spark, str(tmp_path)).collect()
+
+
+def test_many_rows_of_one_id(spark, tmp_path):
+    rows = [(None, "same text here")] * 1500 + [(5, f"text {i % 3}") for i in range(1500)] + [(-1, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    folder = s.write(df, str(tmp_path / "store"), PATH, 2)
+    got = sorted(s.read_digests(spark, folder).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None] * 1500 + [-1] + [5] * 1500
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got[:-1])]).tolist()
+    assert spark.read.parquet(f"{folder}/chunks").count() == 5
+
+
+def test_other_tokenizers_are_refused():
+    with pytest.raises(ValueError, match="another normalizer"):
+        s.WordTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_empty_table(spark, documents, tmp_path):
