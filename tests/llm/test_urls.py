@@ -4,7 +4,7 @@ import pytest
 
 from tesserae.llm import urls
 
-V = urls.Vocabulary()
+V = urls.Vocabulary.load()
 
 
 @pytest.mark.parametrize(
@@ -25,6 +25,11 @@ V = urls.Vocabulary()
         ("https://a.org/sexton-sex-sex", "a.org", "/sexton-sex-sex", None, "allow"),
         ("https://a.org/XXX/", "a.org", "/XXX/", None, "block"),
         ("https://a.org/éxxx", "a.org", "/éxxx", None, "block"),
+        ("http://casino-win.example.org/en/5", "casino-win.example.org", "/en/5", None, "block"),
+        ("http://casino.example.org/en/5", "casino.example.org", "/en/5", None, "allow"),
+        ("http://cheap-pills.example.net/de/", "cheap-pills.example.net", "/de/", None, "block"),
+        ("http://cheap-pills.example.com/de/", "cheap-pills.example.com", "/de/", "com/", "allow"),
+        ("http://a.org/winterbetten/poker", "a.org", "/winterbetten/poker", None, "allow"),
         ("https://a.org/a\nb", "a.org", "/a\nb", None, "allow"),
     ],
 )
@@ -35,7 +40,7 @@ def test_rows(spark, url, host, path, rule, verdict):
 
 def test_hits_as_regular_expressions():
     match = urls.Matcher(V)
-    for u in ("http://x/free-hot-loan", "hotfree hot.free,hot", "Casino-Bonus casino", "betting bet", "porn/porn"):
+    for u in ("http://x/free-hot-loan", "hotfree hot.free,hot", "Casino-Bonus casino", "betting bet", "porn/porn", "http://a.b/x-rated?ads=click&free"):
         low = re.sub("[A-Z]", lambda m: m[0].lower(), u)
         hits = lambda t: len(re.findall(rf"(?<![a-z0-9]){re.escape(t)}(?![a-z0-9])", low))
         met = [t for t in V.soft if hits(t)]
@@ -47,3 +52,20 @@ def test_empty_and_long(spark):
     df = spark.createDataFrame([(1, "http://a.org/" + "x/" * 200_000 + "porn")], "page_id long, url string")
     assert urls.judge(df).first().verdict == "block" and urls.judge(df.limit(0)).count() == 0
     assert urls.judge(df.unionAll(df)).count() == 2
+
+
+def test_terms_decide_on_the_tables(spark):
+    rows = urls.judge(spark.read.parquet("/root/testdata/sf0.1/pages.parquet")).where("rule is null").groupBy("verdict").count().collect()
+    n = {r.verdict: r["count"] for r in rows}
+    assert 0 < n["block"] < 0.1 * n["allow"]
+
+
+def test_own_vocabulary(spark, tmp_path):
+    path = tmp_path / "v.tsv"
+    path.write_text("term\tkind\tweight\ttopic\nbad-word\tstrict\t3\tx\nq\tsoft\t5\tx\n")
+    v = urls.Vocabulary.load(str(path))
+    assert urls.Matcher(v)("http://a/bad-word/q") == (1, 1, 5, True) and urls.Matcher(v)("http://a/bad-words/q") == (0, 1, 5, False)
+    for bad in ("A\tstrict\t3\tx", "a\tother\t1\tx", "a\tsoft\t1\tx\na\tstrict\t3\tx"):
+        path.write_text(f"term\tkind\tweight\ttopic\n{bad}\n")
+        with pytest.raises(ValueError):
+            urls.Vocabulary.load(str(path))
