@@ -8,12 +8,11 @@ from pyspark.sql import functions as F
 
 from . import functions as fn
 from .model import DEFAULT_METHOD, method_by_id
-from .operators.annotate import combine
 from .operators.checksum import checksum_tasks, file_checksum
 from .plans import plan_tasks, split_prefix, totals
-from .session import session
+from .session import checkpoint, session
 from .sources import list_files, read_tasks
-from .sources.sinks import write_annotations, write_task_files
+from .sources.sinks import combine_lines, write_annotations, write_task_files
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -45,8 +44,8 @@ def main(argv: list[str] | None = None) -> int:
     if o.command == "list":
         bucket, prefix = split_prefix(o.prefix)
         method = method_by_id(o.method_id)
-        objects = list_files(spark, bucket, at(bucket), prefix)
-        for row in objects.select(fn.listing_line(F.col("bucket"), F.col("key"), F.col("size"), F.col("last_modified"), F.coalesce("etag", F.lit("-"))).alias("v")).toLocalIterator():
+        objects = checkpoint(list_files(spark, bucket, at(bucket), prefix))
+        for row in objects.orderBy("key").select(fn.listing_line(F.col("bucket"), F.col("key"), F.col("size"), F.col("last_modified"), F.coalesce("etag", F.lit("-"))).alias("v")).toLocalIterator():
             print(row.v)
         if o.task_dir:
             write_task_files(plan_tasks(objects, method), o.task_dir)
@@ -56,9 +55,7 @@ def main(argv: list[str] | None = None) -> int:
         write_annotations(checksum_tasks(read_tasks(spark, o.task_file), at().rstrip("/")), o.output_file)
         print(f"Wrote annotations to {o.output_file}")
     else:
-        line = r"^<(.*)>  ([0-9a-f]+)$"
-        parts = [spark.read.text(i).select(F.regexp_extract("value", line, 1).alias("url"), F.lit(0).alias("offset"), F.regexp_extract("value", line, 2).alias("checksum")) for i in o.inputs]
-        write_annotations(combine(*parts), o.output, one_file=True)
+        combine_lines(spark, o.inputs, o.output)
         print(f"Wrote {o.output}")
     return 0
 

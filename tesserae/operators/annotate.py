@@ -17,7 +17,7 @@ from .checksum import checksum_tasks
 def describe(spark: SparkSession, bucket: str, root: str, prefix: str, m: Method) -> DataFrame:
     """The whole job: list what lies under root/bucket, plan its tasks, checksum them, and give the annotations in order."""
     tasks = plan_tasks(list_files(spark, bucket, f"{root.rstrip('/')}/{bucket}", prefix), m)
-    return combine(checksum_tasks(tasks, root, m.algorithm))
+    return combine(checksum_tasks(tasks, root, m))
 
 
 def combine(*parts: DataFrame) -> DataFrame:

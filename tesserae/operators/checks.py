@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from .. import functions as fn
 from ..model import RDF_TYPE, ROBUSTNESS, classes, entity_schema, iri
-from ..session import inline
+from ..session import checkpoint, inline
 
 REQUIRED, RANGE = iri("linkml:required"), iri("linkml:range")
 _LITERAL = ("string", "integer", "float", "enum", "uri")
@@ -46,10 +46,17 @@ def typed(quads: DataFrame) -> DataFrame:
 
 
 def required(quads: DataFrame, rules: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(check, class, graph, subject, predicate) of typed subjects that lack a required predicate."""
-    r = _rules(quads.sparkSession, required_rules() if rules is None else rules, "class string, predicate string")
-    need = typed(quads).join(r, "class")
-    return need.join(quads.select("graph", "subject", "predicate"), ["graph", "subject", "predicate"], "left_anti").select(F.lit(REQUIRED).alias("check"), "class", "graph", "subject", "predicate")
+    """(check, class, graph, subject, predicate) of typed subjects that lack a required predicate.
+
+    One combining aggregation by subject, of no more than the rules' classes and predicates.
+    """
+    rules = required_rules() if rules is None else rules
+    has = F.array_compact(F.collect_set(F.when(F.col("predicate").isin([*{p for _, p in rules}]), F.col("predicate"))))
+    is_a = F.array_compact(F.collect_set(F.when((F.col("predicate") == RDF_TYPE) & F.col("object").isin([*{c for c, _ in rules}]), F.col("object"))))
+    subjects = quads.where(F.col("graph").isNotNull()).groupBy("graph", "subject").agg(has.alias("has"), is_a.alias("is_a"))
+    every = F.array(*(F.struct(F.lit(c).alias("class"), F.lit(p).alias("predicate")) for c, p in rules))
+    lacks = F.filter(every, lambda r: F.array_contains("is_a", r["class"]) & ~F.array_contains("has", r["predicate"]))
+    return subjects.where(F.size("is_a") > 0).select("graph", "subject", F.explode(lacks).alias("r")).select(F.lit(REQUIRED).alias("check"), "r.class", "graph", "subject", "r.predicate")
 
 
 def permitted(quads: DataFrame, names: list[str] | None = None) -> DataFrame:
@@ -73,7 +80,8 @@ def object_range(quads: DataFrame, rules: list[tuple[str, str, str]] | None = No
 
 
 def check_all(quads: DataFrame) -> DataFrame:
-    """Rows of all three kinds with the same columns."""
+    """Rows of all three kinds with the same columns; quads are made once, into the checkpoint folder."""
+    quads = checkpoint(quads)
     none = F.lit(None).cast("string")
     return (
         required(quads).withColumn("object", none)
@@ -143,7 +151,8 @@ def enum_values(quads: DataFrame) -> DataFrame:
 
 
 def shapes(quads: DataFrame) -> DataFrame:
-    """(constraint, graph, subject, class, predicate) of all shape violations."""
+    """(constraint, graph, subject, class, predicate) of all shape violations; quads are made once, into the checkpoint folder."""
+    quads = checkpoint(quads)
     parts = {"closed": closed, "datatype": datatypes, "class": object_classes, "nodeKind": node_kinds, "minCount": min_count, "maxCount": max_count, "in": enum_values}
     return reduce(DataFrame.unionByName, [f(quads).select(F.lit(k).alias("constraint"), "graph", "subject", "class", "predicate") for k, f in parts.items()])
 

@@ -10,18 +10,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import functions as fn
-from ..model import ANNOTATIONS, Method
+from ..model import ANNOTATIONS, METHODS, Method
 from ..plans import is_small, offsets
 from ..sources import read_range, slice_bytes
 
 
+def blocks(content: Column, size: Column, block_size: Column, algorithm: str) -> Column:
+    """Array of (offset, length, checksum) of a binary column's blocks, at least one; the bytes aren't carried into a row per block."""
+    length = lambda o: F.least(block_size, size - o).cast("bigint")
+    one = lambda o: F.struct(o.alias("offset"), length(o).alias("length"), fn.digest(slice_bytes(content, o, length(o)), algorithm).alias("checksum"))
+    return F.transform(offsets(F.greatest(block_size, F.lit(1)), F.greatest(size, F.lit(1))), one)
+
+
 def block_checksums(objects: DataFrame, m: Method) -> DataFrame:
     """Annotations of objects with their bytes (bucket, key, size, content): whole if small or unblocked, else one per block. Stays in the JVM."""
-    whole = F.lit(True) if not m.needs_offsets else is_small(F.col("size"), m)
-    starts = F.when(whole, F.array(F.lit(0).cast("bigint"))).otherwise(offsets(F.lit(m.block_size), F.col("size")) if m.needs_offsets else F.array(F.lit(0).cast("bigint")))
-    rows = objects.select("bucket", "key", "size", "content", whole.alias("whole"), F.explode(starts).alias("offset"))
-    length = F.when(F.col("whole"), F.col("size")).otherwise(F.least(F.lit(m.block_size), F.col("size") - F.col("offset"))).cast("bigint")
-    return rows.select(fn.url(F.col("bucket"), F.col("key")).alias("url"), "offset", length.alias("length"), F.lit(m.id).alias("method"), fn.digest(slice_bytes(F.col("content"), F.col("offset"), length), m.algorithm).alias("checksum"))
+    block = F.when(is_small(F.col("size"), m), F.col("size")).otherwise(F.lit(m.block_size)) if m.needs_offsets else F.col("size")
+    rows = objects.select(fn.url(F.col("bucket"), F.col("key")).alias("url"), F.explode(blocks(F.col("content"), F.col("size"), block, m.algorithm)).alias("b"))
+    return rows.select("url", "b.offset", "b.length", F.lit(m.id).alias("method"), "b.checksum")
 
 
 def range_checksum(content: Column, offset: Column, length: Column, algorithm: str = "md5") -> Column:
@@ -37,19 +42,23 @@ def file_checksum(path: str, offset: int = 0, length: int | None = None, algorit
     return h.hexdigest()
 
 
-def checksum_tasks(tasks: DataFrame, root: str, algorithm: str = "md5") -> DataFrame:
+def checksum_tasks(tasks: DataFrame, root: str, *more: Method) -> DataFrame:
     """Annotations of task rows (url, size, method, block_size, offset) whose objects lie under root, by bucket and key.
 
-    A block may exceed what a binary column holds, so ranges are read by seek in
-    Python, in chunks. Rows are spread by (url, offset); the task number, which
-    puts all small objects together, is only a label.
+    Each row's method names the algorithm: one of the registered methods or of
+    ``more``; another is an error. A block may exceed what a binary column holds,
+    so ranges are read by seek in Python, in chunks. Rows are spread by (url,
+    offset); the task number, which puts all small objects together, is only a label.
     """
+    algorithms = {m.id: m.algorithm for m in (*METHODS.values(), *more)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sums = []
-            for url, block, offset in zip(*(b.column(c).to_pylist() for c in ("url", "block_size", "offset"))):
-                sums.append(file_checksum(f"{root.rstrip('/')}/{url.replace('s3://', '')}", offset, block, algorithm))
+            for url, method, block, offset in zip(*(b.column(c).to_pylist() for c in ("url", "method", "block_size", "offset"))):
+                if method not in algorithms:
+                    raise ValueError(f"unknown method {method!r} of {url}")
+                sums.append(file_checksum(f"{root.rstrip('/')}/{url.replace('s3://', '')}", offset, block, algorithms[method]))
             yield pa.RecordBatch.from_arrays([b.column(c) for c in ("url", "offset", "length", "method")] + [pa.array(sums, pa.string())], ["url", "offset", "length", "method", "checksum"])
 
     length = F.when(F.col("block_size") == 0, F.col("size")).otherwise(F.least(F.col("block_size"), F.col("size") - F.col("offset"))).cast("bigint")

@@ -81,18 +81,19 @@ def chain(items: DataFrame, descriptors: DataFrame, types: DataFrame, methods: D
 def closure(edges: DataFrame, starts: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
     """(source, node, depth): what each source (start, or node with an edge) reaches, at its least depth; cycles end where a pair is known.
 
-    Breadth first: a round joins only the pairs that the last one found, and is
-    written to the checkpoint folder.
+    Breadth first: a round joins only the pairs that the last one found, and
+    what it finds is written to the checkpoint folder, once.
     """
     e = checkpoint(edges.select(F.col("src").alias("src"), F.col("dst").alias("dst")).distinct())
     first = e if starts is None else e.join(starts.select(F.col("node").alias("src")).distinct(), "src", "left_semi")
     front = checkpoint(first.select(F.col("src").alias("source"), F.col("dst").alias("node"), F.lit(1).alias("depth")))
-    known, depth = front, 1
+    fronts, depth = [front], 1
     while not front.isEmpty() and (max_depth is None or depth < max_depth):
         depth += 1
         step = front.join(e, front["node"] == e["src"]).select("source", F.col("dst").alias("node"), F.lit(depth).alias("depth")).distinct()
-        front = checkpoint(step.join(known.select("source", "node"), ["source", "node"], "left_anti").select("source", "node", "depth"))
-        known = checkpoint(known.unionAll(front))
-    return known
+        known = reduce(DataFrame.unionAll, fronts).select("source", "node")
+        front = checkpoint(step.join(known, ["source", "node"], "left_anti").select("source", "node", "depth"))
+        fronts.append(front)
+    return reduce(DataFrame.unionAll, fronts)
 
 

@@ -8,6 +8,7 @@ descriptors whose gaps are natural violations.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from . import functions as fn
 from . import plans, sources
 from .model import CORE_METHODS, GIB, METHODS, PREFIXES, RDF_TYPE, ROBUSTNESS, Method, classes, iri
 from .operators import annotate, checks, checksum, rdf
-from .session import inline
+from .session import checkpoint, inline
 from .sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -234,9 +235,10 @@ _BLOCKS = f"""WITH {OBJECTS}, a AS (SELECT 's3://' || bucket || '/' || key AS ur
 
 def _annotations(spark, sf) -> DataFrame:
     """Every object is small for the planner, so blocks of 1 KiB are cut here whatever its size."""
-    o = objects(spark, sf).select("*", F.explode(plans.offsets(F.lit(KB.block_size), F.greatest(F.col("size"), F.lit(1)))).alias("offset"))
-    length = F.least(F.lit(KB.block_size), F.col("size") - F.col("offset")).cast("bigint")
-    return o.select(fn.url(F.col("bucket"), F.col("key")).alias("url"), "offset", length.alias("length"), F.lit(KB.id).alias("method"), checksum.range_checksum(F.col("content"), F.col("offset"), F.lit(KB.block_size)).alias("checksum"))
+    o = objects(spark, sf)
+    b = checksum.blocks(F.col("content"), F.col("size"), F.lit(KB.block_size), KB.algorithm)
+    rows = o.select(fn.url(F.col("bucket"), F.col("key")).alias("url"), F.explode(b).alias("b"))
+    return rows.select("url", "b.offset", "b.length", F.lit(KB.id).alias("method"), "b.checksum")
 
 
 @query("src04_block_md5", f"{_BLOCKS} SELECT * FROM a")
@@ -299,8 +301,8 @@ def entities(spark, sf) -> dict[str, DataFrame]:
 
 
 def quads(spark, sf) -> DataFrame:
-    """All entities in one graph, with a predicate that items don't have, and second labels, in some languages."""
-    own = rdf.union(*(rdf.quads_of(e, n, GRAPH) for n, e in entities(spark, sf).items()))
+    """All entities in one graph, with a predicate that items don't have, and second labels, in some languages; no quad comes twice."""
+    own = reduce(DataFrame.unionByName, [rdf.quads_of(e, n, GRAPH) for n, e in entities(spark, sf).items()])
     d = table(spark, sf, "documents")
     s = F.concat(F.lit(PREFIXES["dat"] + "doc-"), F.col("doc_id").cast("string"))
     none = F.lit(None).cast("string")
@@ -377,6 +379,44 @@ def _(spark, sf):
     return sources.ntriples(sinks.ntriples(quads(spark, sf)), GRAPH).select("subject", "predicate", "object", "object_kind", "datatype")
 
 
+@query("src08_turtle_round_trip", f"WITH {QUADS} SELECT DISTINCT subject, predicate, object, object_kind, datatype FROM q")
+def _(spark, sf):
+    return sources.turtle(sinks.ntriples(quads(spark, sf)), GRAPH).select("subject", "predicate", "object", "object_kind", "datatype")
+
+
+_DESCRIPTORS = "SELECT 'dat:desc-' || doc_id AS id, CASE WHEN toxic = 1 THEN 'dat:type-unknown' ELSE 'dat:type-quality' END AS \"hasType\", CASE WHEN quality = 1 THEN 'good' END AS value, CAST(0 AS BIGINT) AS \"offset\", n_chars AS length, CAST(1.0 AS DOUBLE) AS coverage, CAST(NULL AS VARCHAR) AS label, CAST({0} AS INTEGER) AS n_lists FROM documents JOIN labels USING (doc_id)"
+
+
+def _flat(df: DataFrame) -> DataFrame:
+    return df.withColumn("n_lists", F.size("hasDescriptor")).drop("hasDescriptor")
+
+
+@query("src10_yaml_round_trip", _DESCRIPTORS.replace("{0}", "0"))
+def _(spark, sf):
+    return _flat(sources.documents(sinks.to_yaml(entities(spark, sf)["Descriptor"], "Descriptor"), "Descriptor", "yaml"))
+
+
+@query("src11_json_round_trip", _DESCRIPTORS.replace("{0}", "0"))
+def _(spark, sf):
+    return _flat(sources.documents(sinks.to_json(entities(spark, sf)["Descriptor"], "Descriptor"), "Descriptor", "json"))
+
+
+@query("scl16_coercion", _DESCRIPTORS.replace("{0}", "1"))
+def _(spark, sf):
+    d = entities(spark, sf)["Descriptor"]
+    text = d.select("id", "hasType", "value", F.col("offset").cast("string"), F.col("length").cast("string"), F.col("coverage").cast("string"), F.lit("dat:x").alias("hasDescriptor"))
+    return _flat(checks.coerced(text, "Descriptor"))
+
+
+@query("agg04_multivalued", "SELECT 'dat:n' || n_nationkey AS id, n_name AS label, coalesce(string_agg('dat:c' || c_custkey, ' ' ORDER BY 'dat:c' || c_custkey), '') AS descriptors FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey, n_name")
+def _(spark, sf):
+    c = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.collect_list(F.concat(F.lit("dat:c"), F.col("c_custkey").cast("string"))).alias("hasDescriptor"))
+    n = table(spark, sf, "nation").join(c, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    items = n.select(F.concat(F.lit("dat:n"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("label"), "hasDescriptor")
+    got = rdf.entities_of(rdf.quads_of(items, "Item", GRAPH), "Item")
+    return got.select("id", "label", F.array_join("hasDescriptor", " ").alias("descriptors"))
+
+
 @query("joi05_descriptor_chain", "SELECT 'dat:doc-' || doc_id AS item, CASE WHEN n_chars > 500 THEN 'document ' || doc_id END AS item_label, 'dat:desc-' || doc_id AS descriptor, CASE WHEN quality = 1 THEN 'good' END AS value, CAST(0 AS BIGINT) AS \"offset\", n_chars AS length, CAST(1.0 AS DOUBLE) AS coverage, 'dat:type-quality' AS type, 'quality' AS type_label, 'dat:md5' AS method, 'MD5' AS method_label, 'VERY_HIGH' AS robustness FROM documents JOIN labels USING (doc_id) WHERE toxic <> 1")
 def _(spark, sf):
     e = entities(spark, sf)
@@ -396,33 +436,52 @@ def _(spark, sf):
 # Checks
 
 
+#: The rules once more, for the SQL only, written out from the classes' definitions: class to its required slots, to all its slots, and slots that refer to a class.
+_NAMES = {"id": "voc:id", "label": "rdfs:label", "isPartOf": "dct:isPartOf", "comment": "rdfs:comment", "type": "rdf:type"}
+_REQUIRED = {"Thing": "id", "DescribableThing": "id", "Item": "id label isPartOf", "Descriptor": "id hasType value offset coverage", "DescriptorType": "id label usesMethod", "Method": "id label robustness"}
+_PERMITTED = {
+    "Thing": "id type",
+    "DescribableThing": "id hasDescriptor type",
+    "Item": "id label isPartOf hasDescriptor type",
+    "Descriptor": "id hasType value offset length coverage label hasDescriptor type",
+    "DescriptorType": "id label usesMethod max_block_size type",
+    "Method": "id label comment robustness type",
+}
+_RANGES = [("DescribableThing", "hasDescriptor", "Descriptor"), ("Item", "hasDescriptor", "Descriptor"), ("Descriptor", "hasDescriptor", "Descriptor"), ("Descriptor", "hasType", "DescriptorType"), ("DescriptorType", "usesMethod", "Method")]
+_TYPES = {"id": "xsd:anyURI", "isPartOf": "xsd:anyURI", "offset": "xsd:integer", "length": "xsd:integer", "max_block_size": "xsd:integer", "coverage": "xsd:float", "label": "xsd:string", "value": "xsd:string", "comment": "xsd:string"}
+_slot = lambda s: iri(_NAMES.get(s, f"voc:{s}"))
+REQUIRED_BY_HAND = [(iri(f"voc:{c}"), _slot(s)) for c, slots in _REQUIRED.items() for s in slots.split()]
+PERMITTED_BY_HAND = [(iri(f"voc:{c}"), _slot(s)) for c, slots in _PERMITTED.items() for s in slots.split()]
+RANGES_BY_HAND = [(iri(f"voc:{c}"), _slot(s), iri(f"voc:{o}")) for c, s, o in _RANGES]
+_REFERENCES = {"hasDescriptor", "hasType", "usesMethod"}
+
+
 def _values(rows: list[tuple], names: str) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(f"'{x}'" for x in r) + ")" for r in rows) + f") r({names})"
 
 
 def _required_sql(rules) -> str:
-    return f"WITH {QUADS} SELECT '{checks.REQUIRED}' AS \"check\", t.class, t.graph, t.subject, r.predicate FROM typed t JOIN {_values(rules, 'class, predicate')} ON t.class = r.class WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.graph = t.graph AND q.subject = t.subject AND q.predicate = r.predicate)"
+    return f"WITH {QUADS} SELECT 'https://w3id.org/linkml/required' AS \"check\", t.class, t.graph, t.subject, r.predicate FROM typed t JOIN {_values(rules, 'class, predicate')} ON t.class = r.class WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.graph = t.graph AND q.subject = t.subject AND q.predicate = r.predicate)"
 
 
 def _permitted_sql(names) -> str:
-    rules = [r for r in checks.permitted_rules() if r[0] in names]
+    rules = [r for r in PERMITTED_BY_HAND if r[0] in names]
     return f"WITH {QUADS} SELECT t.class, t.graph AS g, t.subject AS s, q.predicate AS p FROM typed t JOIN q ON q.graph = t.graph AND q.subject = t.subject WHERE t.class IN ({', '.join(repr(n) for n in names)}) AND NOT EXISTS (SELECT 1 FROM {_values(rules, 'class, predicate')} WHERE r.class = t.class AND r.predicate = q.predicate)"
 
 
 def _range_sql(rules) -> str:
-    return f"WITH {QUADS} SELECT '{checks.RANGE}' AS \"check\", t.class, t.graph, t.subject, q.predicate, q.object FROM typed t JOIN {_values(rules, 'class, predicate, want')} ON t.class = r.class JOIN q ON q.graph = t.graph AND q.subject = t.subject AND q.predicate = r.predicate WHERE NOT EXISTS (SELECT 1 FROM typed o WHERE o.graph = q.graph AND o.subject = q.object AND o.class = r.want AND q.object_kind = 'iri')"
+    return f"WITH {QUADS} SELECT 'https://w3id.org/linkml/range' AS \"check\", t.class, t.graph, t.subject, q.predicate, q.object FROM typed t JOIN {_values(rules, 'class, predicate, want')} ON t.class = r.class JOIN q ON q.graph = t.graph AND q.subject = t.subject AND q.predicate = r.predicate WHERE NOT EXISTS (SELECT 1 FROM typed o WHERE o.graph = q.graph AND o.subject = q.object AND o.class = r.want AND q.object_kind = 'iri')"
 
 
 def _all_checks() -> None:
     classes_ = [iri(c.curie) for c in classes().values()]
-    order = ["DescribableThing hasDescriptor", "Item hasDescriptor", "Descriptor hasDescriptor", "Descriptor hasType", "DescriptorType usesMethod"]
-    ranges = sorted(checks.range_rules(), key=lambda r: order.index(f"{r[0].rsplit('/', 1)[1]} {r[1].rsplit('/', 1)[1]}"))
+    ranges = RANGES_BY_HAND
     local = lambda x: x.replace("#", "/").rsplit("/", 1)[1].lower()
-    query("chk_required_all", _required_sql(checks.required_rules()))(lambda spark, sf: checks.required(quads(spark, sf)))
-    query("chk_permitted_all", _permitted_sql(classes_))(lambda spark, sf: checks.permitted(quads(spark, sf)))
-    query("chk_range_all", _range_sql(ranges))(lambda spark, sf: checks.object_range(quads(spark, sf)))
+    query("chk_required_all", _required_sql(REQUIRED_BY_HAND))(lambda spark, sf: checks.required(quads(spark, sf)))
+    query("chk_permitted_all", _permitted_sql(classes_))(lambda spark, sf: checks.permitted(checkpoint(quads(spark, sf))))
+    query("chk_range_all", _range_sql(ranges))(lambda spark, sf: checks.object_range(checkpoint(quads(spark, sf))))
     n = 0
-    for r in checks.required_rules():
+    for r in REQUIRED_BY_HAND:
         n += 1
         query(f"chk{n:02d}_required_{local(r[0])}_{local(r[1])}", _required_sql([r]))(lambda spark, sf, r=r: checks.required(quads(spark, sf), [r]))
     for c in classes_:
@@ -434,13 +493,13 @@ def _all_checks() -> None:
 
 
 _all_checks()
-_SLOTS = [(iri(c.curie), iri(s.curie), s) for c in classes().values() for s in c.slots]
+_SLOTS = [(iri(f"voc:{c}"), _slot(s), s) for c, slots in _PERMITTED.items() for s in slots.split() if s != "type"]
 _T = "typed t JOIN q ON q.graph = t.graph AND q.subject = t.subject"
 
 
 def _shape_rules() -> list[tuple[str, str]]:
-    every = {p for _, p, _ in _SLOTS}
-    return sorted({*checks.permitted_rules(), *((iri(f"voc:{c}"), p) for c in ("Thing", "DescribableThing") for p in every)})
+    every = {p for _, p in PERMITTED_BY_HAND}
+    return sorted({*PERMITTED_BY_HAND, *((iri(f"voc:{c}"), p) for c in ("Thing", "DescribableThing") for p in every)})
 
 
 @query("shp01_closed", f"WITH {QUADS} SELECT t.graph, t.subject, t.class, q.predicate FROM {_T} WHERE t.class IN ({', '.join(repr(iri(c.curie)) for c in classes().values())}) AND NOT EXISTS (SELECT 1 FROM {_values(_shape_rules(), 'class, predicate')} WHERE r.class = t.class AND r.predicate = q.predicate)")
@@ -448,27 +507,27 @@ def _(spark, sf):
     return checks.closed(quads(spark, sf))
 
 
-@query("shp02_datatype", f"WITH {QUADS} SELECT t.graph, t.subject, t.class, q.predicate, q.object, coalesce(q.datatype, '{iri('xsd:string')}') AS datatype FROM {_T} JOIN {_values([(c, p, checks._XSD[s.kind]) for c, p, s in _SLOTS if s.kind in checks._XSD], 'class, predicate, want')} ON r.class = t.class AND r.predicate = q.predicate WHERE q.object_kind = 'literal' AND coalesce(q.datatype, '{iri('xsd:string')}') <> r.want")
+@query("shp02_datatype", f"WITH {QUADS} SELECT t.graph, t.subject, t.class, q.predicate, q.object, coalesce(q.datatype, '{iri('xsd:string')}') AS datatype FROM {_T} JOIN {_values([(c, p, iri(_TYPES[s])) for c, p, s in _SLOTS if s in _TYPES], 'class, predicate, want')} ON r.class = t.class AND r.predicate = q.predicate WHERE q.object_kind = 'literal' AND coalesce(q.datatype, '{iri('xsd:string')}') <> r.want")
 def _(spark, sf):
     return checks.datatypes(quads(spark, sf))
 
 
-@query("shp03_class", f"SELECT class, graph, subject, predicate, object FROM ({_range_sql(checks.range_rules())})")
+@query("shp03_class", f"SELECT class, graph, subject, predicate, object FROM ({_range_sql(RANGES_BY_HAND)})")
 def _(spark, sf):
     return checks.object_classes(quads(spark, sf))
 
 
-@query("shp04_node_kind", f"WITH {QUADS} SELECT t.graph, t.subject, t.class, q.predicate, q.object, q.object_kind FROM {_T} JOIN {_values([(c, p, 'literal' if s.kind in checks._LITERAL else 'iri') for c, p, s in _SLOTS], 'class, predicate, want')} ON r.class = t.class AND r.predicate = q.predicate WHERE q.object_kind <> r.want")
+@query("shp04_node_kind", f"WITH {QUADS} SELECT t.graph, t.subject, t.class, q.predicate, q.object, q.object_kind FROM {_T} JOIN {_values([(c, p, 'iri' if s in _REFERENCES else 'literal') for c, p, s in _SLOTS], 'class, predicate, want')} ON r.class = t.class AND r.predicate = q.predicate WHERE q.object_kind <> r.want")
 def _(spark, sf):
     return checks.node_kinds(quads(spark, sf))
 
 
-@query("shp05_min_count", f"SELECT graph, subject, class, predicate, CAST(0 AS BIGINT) AS n FROM ({_required_sql(checks.required_rules())})")
+@query("shp05_min_count", f"SELECT graph, subject, class, predicate, CAST(0 AS BIGINT) AS n FROM ({_required_sql(REQUIRED_BY_HAND)})")
 def _(spark, sf):
     return checks.min_count(quads(spark, sf))
 
 
-@query("shp06_max_count", f"WITH {QUADS} SELECT t.graph, t.subject, t.class, q.predicate, count(*) AS n FROM {_T} JOIN {_values([(c, p) for c, p, s in _SLOTS if not s.many], 'class, predicate')} ON r.class = t.class AND r.predicate = q.predicate GROUP BY ALL HAVING count(*) > 1")
+@query("shp06_max_count", f"WITH {QUADS} SELECT t.graph, t.subject, t.class, q.predicate, count(*) AS n FROM {_T} JOIN {_values([(c, p) for c, p, s in _SLOTS if s != 'hasDescriptor'], 'class, predicate')} ON r.class = t.class AND r.predicate = q.predicate GROUP BY ALL HAVING count(*) > 1")
 def _(spark, sf):
     return checks.max_count(quads(spark, sf))
 

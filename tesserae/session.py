@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,10 +31,17 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the folder of ``spark.checkpoint.dir`` and cut its lineage there; only where no folder is named, one is set."""
+    """Write ``df`` to the folder of ``spark.checkpoint.dir`` and cut its lineage there.
+
+    Where no folder is named, a local session gets one; a cluster, whose machines
+    share no temporary folder, must name it.
+    """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,8 +15,9 @@ from pyspark.sql import types as T
 
 from .. import functions as fn
 from ..model import OBJECTS, PREFIXES, QUADS, entity_schema
+from ..session import checkpoint, inline
 
-CHUNK = 8192
+CHUNK = 1 << 20
 
 
 # Objects
@@ -32,34 +34,68 @@ def _filesystem(path: str) -> tuple[object, str]:
     return fs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
 
 
-def list_files(spark: SparkSession, bucket: str, root: str, prefix: str = "") -> DataFrame:
-    """Listing of the files under root, empty ones too, keys relative to it; bytes aren't read and there is no ETag (null).
+def walk(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
+    """(key, last_modified, size, folder): the files and folders under root whose keys begin with a string prefix; folders' keys end with a slash.
 
-    The driver lists one level; what may hold the prefix below it is listed by
-    tasks, a folder each.
+    Only the deepest folder that the prefix names and what matches below it is
+    listed: a level a round, each folder by a task of its own, and each level is
+    written to the checkpoint folder.
     """
     from pyarrow import fs
 
-    store, base = _filesystem(root)
-    base = base.rstrip("/")
-    top = [i.path[len(base) + 1 :] + "/" * (i.type == fs.FileType.Directory) for i in store.get_file_info(fs.FileSelector(base, allow_not_found=True))]
-    top = [(k,) for k in top if k.startswith(prefix) or k.endswith("/") and prefix.startswith(k)]
-    uri = root.rstrip("/") if "://" in root else base
+    _, base = _filesystem(root)
+    uri = root.rstrip("/") if "://" in root else base.rstrip("/")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, at = _filesystem(uri)
         at = at.rstrip("/")
         for b in batches:
-            for k in b.column("key").to_pylist():
-                found = here.get_file_info(fs.FileSelector(f"{at}/{k}", recursive=True)) if k.endswith("/") else [here.get_file_info(f"{at}/{k}")]
-                rows = [i for i in found if i.type == fs.FileType.File]
-                yield pa.RecordBatch.from_arrays([pa.array([i.path[len(at) + 1 :] for i in rows], pa.string()), pa.array([i.mtime for i in rows], pa.timestamp("us", "UTC")), pa.array([i.size for i in rows], pa.int64())], ["key", "last_modified", "size"])
+            for folder in b.column("folder").to_pylist():
+                found = here.get_file_info(fs.FileSelector(f"{at}/{folder}".rstrip("/"), allow_not_found=True))
+                for lo in range(0, len(found), 10_000):
+                    part = found[lo : lo + 10_000]
+                    below = [i.type == fs.FileType.Directory for i in part]
+                    keys = [i.path[len(at) + 1 :] + "/" * d for i, d in zip(part, below)]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([i.mtime for i in part], pa.timestamp("us", "UTC")), pa.array([i.size for i in part], pa.int64()), pa.array(below, pa.bool_())], ["key", "last_modified", "size", "folder"])
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    level, levels = inline(spark, [(prefix.rpartition("/")[0],)], "folder string"), []
+    while True:
+        levels.append(checkpoint(level.mapInArrow(run, "key string, last_modified timestamp, size long, folder boolean").where(F.col("key").startswith(prefix))))
+        below = levels[-1].where("folder")
+        if below.isEmpty():
+            return reduce(DataFrame.unionAll, levels)
+        level = below.select(F.col("key").alias("folder")).repartition(n)
+
 
-    folders = spark.createDataFrame(top, "key string").repartition(max(1, min(len(top), 1000)))
-    files = folders.mapInArrow(run, "key string, last_modified timestamp, size long")
+def list_files(spark: SparkSession, bucket: str, root: str, prefix: str = "") -> DataFrame:
+    """Listing of the files under root, empty ones too, keys relative to it; bytes aren't read and there is no ETag (null)."""
+    files = walk(spark, root, prefix).where(~F.col("folder"))
     return list_table(files.select(F.lit(bucket).alias("bucket"), "key", "last_modified", F.lit(None).cast("string").alias("etag"), "size"), prefix)
 
 
+def list_pages(spark: SparkSession, bucket: str, prefixes: list[str], fetch: Callable[[str, str | None], dict]) -> DataFrame:
+    """Listing of a store by its own paged interface: ``fetch(prefix, token)`` gives a response with Contents, IsTruncated and NextContinuationToken.
+
+    A task follows the tokens of a prefix; prefixes that don't overlap are listed side by side.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for prefix in b.column("prefix").to_pylist():
+                more, token = True, None
+                while more:
+                    page = fetch(prefix, token)
+                    rows = page.get("Contents") or []
+                    more, token = page.get("IsTruncated", False), page.get("NextContinuationToken")
+                    if more and not token:
+                        raise ValueError(f"a truncated page of {prefix!r} has no token")
+                    yield pa.RecordBatch.from_arrays([pa.array([r["Key"] for r in rows], pa.string()), pa.array([r.get("LastModified") for r in rows], pa.timestamp("us", "UTC")), pa.array([r.get("ETag") for r in rows], pa.string()), pa.array([r["Size"] for r in rows], pa.int64())], ["Key", "LastModified", "ETag", "Size"])
+
+    shards = inline(spark, [(p,) for p in prefixes], "prefix string").repartition(max(1, len(prefixes)))
+    return from_api(shards.mapInArrow(run, "Key string, LastModified timestamp, ETag string, Size long"), bucket)
+
+
 def from_api(pages: DataFrame, bucket: str) -> DataFrame:
     """Rows of an object store's listing response (Key, LastModified, ETag, Size) as a listing; any number of pages is one table."""
     return pages.select(F.lit(bucket).alias("bucket"), F.col("Key").alias("key"), F.col("LastModified").cast("timestamp").alias("last_modified"), F.col("ETag").alias("etag"), F.col("Size").cast("bigint").alias("size"))
@@ -224,8 +260,8 @@ def parse_turtle(text: str) -> list[tuple]:
     return out
 
 
-def read_turtle(spark: SparkSession, path: str, graph: str | None = None) -> DataFrame:
-    """Turtle files as quads, a file per task at most (the format can't be split)."""
+def turtle(texts: DataFrame, graph: str | None = None) -> DataFrame:
+    """Turtle documents (value) as quads."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = QUADS.replace(" string", "").split(", ")
@@ -233,15 +269,45 @@ def read_turtle(spark: SparkSession, path: str, graph: str | None = None) -> Dat
             rows = [(graph, *t) for text in b.column("value").to_pylist() for t in parse_turtle(text)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(7)], names)
 
-    return spark.read.text(path, wholetext=True).mapInArrow(run, QUADS).dropDuplicates()
+    return texts.select("value").mapInArrow(run, QUADS).dropDuplicates()
+
+
+def read_turtle(spark: SparkSession, path: str, graph: str | None = None) -> DataFrame:
+    """Turtle files as quads, a file per task at most (the format can't be split)."""
+    return turtle(spark.read.text(path, wholetext=True), graph)
 
 
 # Entities
 
 
+def documents(texts: DataFrame, name: str, kind: str) -> DataFrame:
+    """Entities of one class from JSON or YAML documents (value), each one entity or several; a closed class has no other keys than its slots and "@type"."""
+    schema = _nullable(entity_schema(name))
+    fields = {f.name: f.dataType for f in schema.fields}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for text in b.column("value").to_pylist():
+                if kind == "yaml":
+                    import yaml
+
+                    found = [*yaml.load_all(text, Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader))]
+                else:
+                    found = [json.loads(text)]
+                for d in (e for x in found for e in (x if isinstance(x, list) else [x])):
+                    if not isinstance(d, dict) or set(d) - {*fields, "@type"}:
+                        raise ValueError(f"not an entity of {name}: {d!r}")
+                    rows.append(json.dumps({k: (v if isinstance(v, list) else [v]) if isinstance(fields.get(k), T.ArrayType) and v is not None else v for k, v in d.items()}))
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], ["value"])
+
+    rows = texts.select("value").mapInArrow(run, "value string")
+    return _with_lists(rows.select(F.from_json("value", schema).alias("e")).select("e.*"), name)
+
+
 def read_json(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """Entities of one class from JSON documents; "@type" is dropped, missing slots are null, lists default to empty."""
-    return _with_lists(spark.read.schema(_nullable(entity_schema(name))).option("multiLine", True).json(path), name)
+    """Entities of one class from JSON files; "@type" is dropped, missing slots are null, lists default to empty."""
+    return documents(spark.read.text(path, wholetext=True), name, "json")
 
 
 def _nullable(schema: T.StructType) -> T.StructType:
@@ -254,24 +320,8 @@ def _with_lists(df: DataFrame, name: str) -> DataFrame:
 
 
 def read_yaml(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """Entities of one class from YAML documents; a closed class has no other keys."""
-    schema = _nullable(entity_schema(name))
-    fields = {f.name: f.dataType for f in schema.fields}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import yaml
-
-        for b in batches:
-            rows = []
-            for text in b.column("value").to_pylist():
-                for d in yaml.safe_load_all(text):
-                    if not isinstance(d, dict) or set(d) - {*fields, "@type"}:
-                        raise ValueError(f"not an entity of {name}: {d!r}")
-                    rows.append(json.dumps({k: (v if isinstance(v, list) else [v]) if isinstance(fields.get(k), T.ArrayType) else v for k, v in d.items()}))
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], ["value"])
-
-    texts = spark.read.text(path, wholetext=True).mapInArrow(run, "value string")
-    return _with_lists(texts.select(F.from_json("value", schema).alias("e")).select("e.*"), name)
+    """Entities of one class from YAML files."""
+    return documents(spark.read.text(path, wholetext=True), name, "yaml")
 
 
 def empty_listing(spark: SparkSession) -> DataFrame:

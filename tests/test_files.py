@@ -59,12 +59,12 @@ def test_tasks_from_files_to_annotations(spark, store, tmp_path):
     tasks = plan_tasks(objects, m)
     sinks.write_task_files(tasks.where("offset < 20000"), str(tmp_path / "tasks"))
     back = sources.read_tasks(spark, str(tmp_path / "tasks"))
-    got = {(r.url, r.offset): r for r in checksum.checksum_tasks(back, str(store)).collect()}
+    got = {(r.url, r.offset): r for r in checksum.checksum_tasks(back, str(store), m).collect()}
     data = (store / "b/big.bin").read_bytes()
     for o in range(0, 20000, 2048):
         assert got["s3://b/big.bin", o].checksum == hashlib.md5(data[o : o + 2048]).hexdigest()
     assert got["s3://b/xyz", 0].checksum == hashlib.md5(b"").hexdigest() and got["s3://b/x/one.bin", 0].length == 10
-    sinks.write_annotations(checksum.checksum_tasks(back, str(store)), str(tmp_path / "out"), one_file=True)
+    sinks.write_annotations(checksum.checksum_tasks(back, str(store), m), str(tmp_path / "out"), one_file=True)
     lines = [r.value for r in spark.read.text(str(tmp_path / "out")).collect()]
     assert lines == sorted(lines, key=lambda x: x.split(">")[0]) and f"<s3://b/x/one.bin>  {hashlib.md5((store / 'b/x/one.bin').read_bytes()).hexdigest()}" in lines
 
@@ -166,6 +166,83 @@ def test_stream_of_arriving_files(spark, store, tmp_path):
     assert {r.checksum for r in rows} == {hashlib.sha256(p.read_bytes()).hexdigest() for p in (store / "b/x").iterdir()}
 
 
+def test_stream_keys_are_whole_paths(spark, store, tmp_path):
+    q = annotate_stream(arriving_objects(spark, "b", str(store / "b")), METHODS["md5"], str(tmp_path / "out"), str(tmp_path / "state"))
+    q.awaitTermination()
+    assert sorted(r.url for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["s3://b/other", "s3://b/x/one.bin", "s3://b/x/two words.bin"]
+
+
+@pytest.mark.parametrize("prefix, folders", [("", ["x/", "x/deep/", "x/deep/er/"]), ("x/deep/e", ["x/deep/er/"]), ("x/one", []), ("x/deep/er/", []), ("none/y", [])])
+def test_only_folders_under_the_prefix_are_listed(spark, store, prefix, folders):
+    (store / "b/x/deep/er").mkdir(parents=True)
+    (store / "b/x/deep/er/f").write_bytes(b"1")
+    rows = sources.walk(spark, str(store / "b"), prefix).collect()
+    assert sorted(r.key for r in rows if r.folder) == folders
+    keys = ["other", "x/deep/er/f", "x/one.bin", "x/two words.bin", "xyz"]
+    assert sorted(r.key for r in rows if not r.folder) == [k for k in keys if k.startswith(prefix)] == [r.key for r in sources.list_files(spark, "b", str(store / "b"), prefix).collect()]
+
+
+def test_pages_are_followed_by_their_tokens(spark):
+    def fetch(prefix, token):
+        at = int(token or 0)
+        more = at < 4
+        return {"Contents": [{"Key": f"{prefix}{at + i}", "Size": at + i, "ETag": "e"} for i in range(2)], "IsTruncated": more} | ({"NextContinuationToken": str(at + 2)} if more else {})
+
+    rows = sources.list_pages(spark, "b", ["x/", "y/"], fetch).orderBy("key").collect()
+    assert [(r.bucket, r.key, r.size) for r in rows] == [("b", f"{p}{i}", i) for p in ("x/", "y/") for i in range(6)]
+    assert sources.list_pages(spark, "b", ["x/"], lambda p, t: {"IsTruncated": False}).count() == 0
+
+
+@pytest.mark.parametrize("method", ["sha256", "sha512", "sha1-2gb", "md5"])
+def test_annotate_uses_the_method_of_each_line(spark, store, tmp_path, method):
+    root = ["--root", str(store)]
+    assert cli.main([*root, "list", "b/x/", "--task-dir", str(tmp_path / "t"), "--method-id", method]) == 0
+    (tmp_path / "t/task_1").write_text(f"s3://b/x/one.bin 10 {method} {METHODS[method].block_size} 0\n")
+    assert cli.main([*root, "annotate", str(tmp_path / "t"), str(tmp_path / "a")]) == 0
+    h = hashlib.new(METHODS[method].algorithm, (store / "b/x/one.bin").read_bytes()).hexdigest()
+    assert [r.value for r in spark.read.text(str(tmp_path / "a")).collect()] == [f"<s3://b/x/one.bin>  {h}"]
+    (tmp_path / "t/task_1").write_text("s3://b/x/one.bin 10 other 0 0\n")
+    with pytest.raises(Exception, match="unknown method 'other'"):
+        cli.main([*root, "annotate", str(tmp_path / "t"), str(tmp_path / "b")])
+
+
+def test_task_files(spark, tmp_path):
+    objects = spark.createDataFrame([("b", "big", 5 << 21), ("b", "huge", 1 << 25), ("b", "s1", 5), ("b", "s2", 0)], "bucket string, key string, size long")
+    m = Method("own", "md5", 1 << 23)
+    sinks.write_task_files(plan_tasks(objects, m), str(tmp_path / "t"))
+    line = lambda k, n, o: f"s3://b/{k} {n} own {1 << 23} {o}\n"
+    want = {f"task_{i + 1}": line("huge", 1 << 25, i << 23) for i in range(4)} | {"task_5": line("big", 5 << 21, 0) + line("s1", 5, 0) + line("s2", 0, 0)}
+    assert {p.name: p.read_text() for p in (tmp_path / "t").iterdir() if not p.name.startswith(".")} == want
+    assert sources.read_tasks(spark, str(tmp_path / "t")).count() == 7
+    sinks.write_task_files(plan_tasks(objects.where("key = 'huge'"), m), str(tmp_path / "u"))
+    assert (tmp_path / "u/task_5").read_text() == "" and len(list((tmp_path / "u").iterdir())) == 5
+    sinks.write_task_files(plan_tasks(objects.limit(0), m), str(tmp_path / "v"))
+    assert [p.name for p in (tmp_path / "v").iterdir()] == ["task_1"]
+
+
+def test_combine_keeps_the_order_of_blocks(spark, tmp_path):
+    (tmp_path / "one").write_text("".join(f"<s3://b/z>  {i:032x}\n" for i in (9, 3, 7)) + f"<s3://b/a>  {5:032x}\n")
+    (tmp_path / "two").write_text("".join(f"<s3://b/{k}>  {i:032x}\n" for k, i in (("z", 1), ("a", 0), ("z", 2))))
+    assert cli.main(["combine", str(tmp_path / "one"), str(tmp_path / "two"), str(tmp_path / "out")]) == 0
+    want = [("a", 5), ("a", 0), ("z", 9), ("z", 3), ("z", 7), ("z", 1), ("z", 2)]
+    assert (tmp_path / "out").read_text() == "".join(f"<s3://b/{k}>  {i:032x}\n" for k, i in want)
+
+
+def test_json_entities_are_closed(spark, tmp_path):
+    (tmp_path / "i.json").write_text('{"id": "dat:i", "pokemon": 1}')
+    with pytest.raises(Exception, match="not an entity"):
+        sources.read_json(spark, str(tmp_path / "i.json"), "Item").collect()
+    (tmp_path / "many.json").write_text('[{"id": "dat:i"}, {"id": "dat:j", "hasDescriptor": null}]')
+    assert [(r.id, r.hasDescriptor) for r in sources.read_json(spark, str(tmp_path / "many.json"), "Item").collect()] == [("dat:i", []), ("dat:j", [])]
+
+
+def test_turtle_written_and_read(spark, tmp_path):
+    (tmp_path / "a.ttl").write_text(TTL)
+    q = sources.read_turtle(spark, str(tmp_path / "a.ttl"), "g")
+    sinks.write_turtle(q, str(tmp_path / "out"))
+    assert sorted(map(tuple, sources.read_turtle(spark, str(tmp_path / "out"), "g").collect()), key=str) == sorted(map(tuple, q.collect()), key=str)
+
+
 def test_describe_a_prefix(spark, store):
     rows = annotate.describe(spark, "b", str(store), "x/", METHODS["sha1"]).collect()
     assert [(r.url, r.length, r.method) for r in rows] == [("s3://b/x/one.bin", 10, "sha1"), ("s3://b/x/two words.bin", 5000, "sha1")]

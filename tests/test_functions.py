@@ -79,3 +79,26 @@ def test_methods():
 def test_expand_then_contract_known_names(spark, names):
     df = spark.createDataFrame([(f"dat:{n}",) for n in names], "c string")
     assert all(r.c == r.d for r in df.select("c", fn.contract_iri(fn.expand_curie(F.col("c"))).alias("d")).collect())
+
+
+def test_rules_are_those_written_by_hand():
+    from tesserae import queries
+    from tesserae.operators import checks
+
+    assert sorted(checks.required_rules()) == sorted(queries.REQUIRED_BY_HAND)
+    assert sorted(checks.permitted_rules()) == sorted(queries.PERMITTED_BY_HAND)
+    assert sorted(checks.range_rules()) == sorted(queries.RANGES_BY_HAND)
+
+
+def test_digests_of_known_inputs(spark):
+    import hashlib
+
+    from pyspark.sql import functions as F
+
+    from tesserae import functions as fn
+
+    data = [b"", b"abc", bytes(range(256)) * 99]
+    rows = spark.createDataFrame([(x,) for x in data], "x binary")
+    for a in ("md5", "sha1", "sha256", "sha512"):
+        assert [r.h for r in rows.select(fn.digest(F.col("x"), a).alias("h")).collect()] == [hashlib.new(a, x).hexdigest() for x in data]
+    assert rows.select(fn.digest(F.col("x"), "sha512").alias("h")).collect()[1].h.startswith("ddaf35a193617abacc417349ae204131")
