@@ -80,7 +80,7 @@ def integer(text: Column) -> Column:
 
 def expand_curie(curie: Column, prefixes: dict[str, str] = PREFIXES) -> Column:
     """prefix:local to its IRI; what has no known prefix stays."""
-    table = F.create_map(*(F.lit(x) for kv in prefixes.items() for x in kv))
+    table = F.expr("map(" + ", ".join(f"'{p}', '{base}'" for p, base in prefixes.items()) + ")")
     base = F.try_element_at(table, F.substring_index(curie, ":", 1))
     known = curie.contains(":") & base.isNotNull()
     return F.when(known, F.concat(base, F.substring(curie, F.instr(curie, ":") + 1, F.length(curie)))).otherwise(curie)

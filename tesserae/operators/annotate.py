@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import functions as fn
 from ..model import DATA, PREFIXES, Method
 from ..plans import plan_tasks
+from ..session import checkpoint
 from ..sources import list_files
 from .checksum import checksum_tasks
 
@@ -21,8 +22,12 @@ def describe(spark: SparkSession, bucket: str, root: str, prefix: str, m: Method
 
 
 def combine(*parts: DataFrame) -> DataFrame:
-    """All annotations in order of url and offset; nothing is merged."""
-    return reduce(DataFrame.unionByName, parts).orderBy("url", "offset")
+    """All annotations in order of url and offset; nothing is merged.
+
+    They are written to the checkpoint folder first: a sort looks at its input
+    twice, and objects should be read once.
+    """
+    return checkpoint(reduce(DataFrame.unionByName, parts)).orderBy("url", "offset")
 
 
 def descriptors(annotations: DataFrame, sizes: DataFrame | None = None) -> DataFrame:

@@ -54,7 +54,7 @@ def required(quads: DataFrame, rules: list[tuple[str, str]] | None = None) -> Da
     has = F.array_compact(F.collect_set(F.when(F.col("predicate").isin([*{p for _, p in rules}]), F.col("predicate"))))
     is_a = F.array_compact(F.collect_set(F.when((F.col("predicate") == RDF_TYPE) & F.col("object").isin([*{c for c, _ in rules}]), F.col("object"))))
     subjects = quads.where(F.col("graph").isNotNull()).groupBy("graph", "subject").agg(has.alias("has"), is_a.alias("is_a"))
-    every = F.array(*(F.struct(F.lit(c).alias("class"), F.lit(p).alias("predicate")) for c, p in rules))
+    every = F.expr("array(" + ", ".join(f"named_struct('class', '{c}', 'predicate', '{p}')" for c, p in rules) + ")")
     lacks = F.filter(every, lambda r: F.array_contains("is_a", r["class"]) & ~F.array_contains("has", r["predicate"]))
     return subjects.where(F.size("is_a") > 0).select("graph", "subject", F.explode(lacks).alias("r")).select(F.lit(REQUIRED).alias("check"), "r.class", "graph", "subject", "r.predicate")
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as fn
 from ..plans import SMALL_BYTES
+from ..session import checkpoint
 
 
 def write_task_files(tasks: DataFrame, folder: str) -> None:
@@ -45,8 +46,8 @@ def write_task_files(tasks: DataFrame, folder: str) -> None:
 
 
 def annotation_lines(annotations: DataFrame) -> DataFrame:
-    """Legacy text of annotations, in order of url and offset."""
-    return annotations.orderBy("url", "offset").select(fn.annotation_line(F.col("url"), F.col("checksum")).alias("value"))
+    """Legacy text of annotations, in order of url and offset; they are made once, into the checkpoint folder, and not again for the sort."""
+    return checkpoint(annotations).orderBy("url", "offset").select(fn.annotation_line(F.col("url"), F.col("checksum")).alias("value"))
 
 
 def write_annotations(annotations: DataFrame, path: str, one_file: bool = False) -> None:
