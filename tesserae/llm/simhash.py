@@ -6,8 +6,14 @@ every linked pair of distinct fingerprints shares one of 16 keys, and nothing is
 lost by comparing only within keys: in tiles, by numpy exclusive-or and bit
 counts, tiles ordered by population count and tile pairs skipped that differ in
 it beyond the radius. Equal fingerprints are one row from the start, so copies
-cost nothing. A key with more than ``HOT`` fingerprints is cut into tiles, one
-per population count and salt, that meet in tasks of their own.
+cost nothing.
+
+A key leaves 36 bits free. If more than ``HOT`` fingerprints have it, they get four
+longer keys instead, of a quarter of the free bits each: a pair within the radius
+agrees in one of them too. After four such steps 12 bits are free at most, so no key has
+more than 4,096 fingerprints, however many rows there are, and a fingerprint has at
+most 4,096 keys. A pair counts in one place: under the first of the keys that it
+shares at each step.
 
 Links are counted, not listed: a task returns each fingerprint's number of linked documents,
 and a spanning forest of its links, from which components follow.
@@ -22,6 +28,7 @@ members' are null; extra columns are ignored by ``groups`` and kept by
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +44,9 @@ from .components import components
 RADIUS = 3
 HOT = 4096
 TILE = 1024
+STEPS = 4
+#: Rows that a task compares, about.
+ROWS = 500_000
 
 
 def _rest(i: int, j: int) -> int:
@@ -48,6 +58,24 @@ def _rest(i: int, j: int) -> int:
 MASKS = np.array([_rest(i, j) for i in range(4) for j in range(4)], np.uint64)
 
 
+@lru_cache(maxsize=None)
+def longer(mask: int) -> np.ndarray:
+    """The mask with a quarter of its free bits more, four times."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    cuts = [k * len(free) // 4 for k in range(5)]
+    return np.array([mask | sum(1 << b for b in free[a:z]) for a, z in zip(cuts, cuts[1:])], np.uint64)
+
+
+def steps(path: int) -> list[tuple[np.ndarray, int]]:
+    """Of a key's path, the masks at each step and the one taken. path: number of the first mask, then two bits a step, their count on top."""
+    depth, taken = path >> 12, path & 15
+    out = [(MASKS, taken)]
+    for k in range(depth):
+        masks = longer(int(out[-1][0][out[-1][1]]))
+        out.append((masks, path >> (4 + 2 * k) & 3))
+    return out
+
+
 def fingerprints(texts: pa.Array) -> np.ndarray:
     """SimHash of each text's 3-word shingles (XXH64, seed 42; A-Z lower-cased)."""
     w = words(texts, lower=True)
@@ -84,52 +112,68 @@ def with_fingerprint(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
-def keys(fp: np.ndarray) -> np.ndarray:
-    """The 16 keys of each fingerprint, as (n, 16) signed longs: the masked bits, mixed with the mask's number."""
-    return np.stack([mix64((fp & m) + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64)) for k, m in enumerate(MASKS)], 1).view(np.int64)
+def _keyed(fp: np.ndarray, masks: np.ndarray, path: np.ndarray) -> np.ndarray:
+    """A key of each fingerprint for each mask, as (n, masks) signed longs: the masked bits, mixed with the mask's path."""
+    return np.stack([mix64((fp & m) + np.uint64((int(k) + 1) * 0x9E3779B97F4A7C15 % 2**64)) for m, k in zip(masks, path)], 1).view(np.int64)
+
+
+def _rows(key: np.ndarray, path: np.ndarray, fp: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    width = key.shape[1]
+    return pa.RecordBatch.from_arrays([pa.array(key.reshape(-1)), pa.array(np.tile(path.astype(np.int32), len(fp))), pa.array(np.repeat(fp, width).view(np.int64)), pa.array(np.repeat(n, width))], ["key", "path", "fp", "n"])
 
 
 def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         fp = batch.column("fp").to_numpy().view(np.uint64)
-        k = keys(fp)
-        rep = lambda c: pa.array(np.repeat(batch.column(c).to_numpy(), 16))
-        yield pa.RecordBatch.from_arrays([pa.array(k.reshape(-1)), pa.array(np.tile(np.arange(16, dtype=np.int32), len(fp))), rep("fp"), rep("n")], ["key", "mask", "fp", "n"])
+        path = np.arange(16)
+        yield _rows(_keyed(fp, MASKS, path), path, fp, batch.column("n").to_numpy())
 
 
-class Forest:
-    """Union-find over places, path halving."""
-
-    def __init__(self, n: int) -> None:
-        self.up = list(range(n))
-
-    def find(self, a: int) -> int:
-        up = self.up
-        while up[a] != a:
-            up[a] = up[up[a]]
-            a = up[a]
-        return a
-
-    def join(self, a: int, b: int) -> None:
-        a, b = self.find(a), self.find(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-
-
-def _new(x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """Which differences are within the radius and met first by this mask."""
+def _deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Four longer keys for each."""
+    for batch in batches:
+        path, fp, n = batch.column("path").to_numpy(), batch.column("fp").to_numpy().view(np.uint64), batch.column("n").to_numpy()
+        for k in np.unique(path).tolist():
+            own = path == k
+            masks, taken = steps(k)[-1]
+            more, depth = longer(int(masks[taken])), k >> 12
+            paths = (k & 0xFFF | (depth + 1) << 12) + (np.arange(4) << (4 + 2 * depth))
+            yield _rows(_keyed(fp[own], more, paths), paths, fp[own], n[own])
+
+
+def join_all(up: np.ndarray, p: np.ndarray, q: np.ndarray) -> None:
+    """Union of the trees of p[i] and q[i]; up: each place's parent, never a larger one."""
+
+    def roots(x: np.ndarray) -> np.ndarray:
+        r = up[x]
+        while (up[r] != r).any():
+            r = up[r]
+        up[x] = r
+        return r
+
+    while len(p):
+        a, b = roots(p), roots(q)
+        live = a != b
+        p, q, a, b = p[live], q[live], a[live], b[live]
+        np.minimum.at(up, np.maximum(a, b), np.minimum(a, b))
+
+
+def _new(x: np.ndarray, path: np.ndarray) -> np.ndarray:
+    """Which differences are within the radius and met first on this path."""
     near = np.bitwise_count(x) <= RADIUS
     at = np.flatnonzero(near)
     first = np.argmax((x[at, None] & MASKS[None, :]) == 0, axis=1)
-    near[at] = first == mask[at]
+    near[at] = first == path[at] & 15
+    deep = np.flatnonzero(near & (path >> 12 > 0))
+    for k in np.unique(path[deep]).tolist():
+        own = deep[path[deep] == k]
+        for masks, taken in steps(k)[1:]:
+            near[own] &= np.argmax((x[own, None] & masks[None, :]) == 0, axis=1) == taken
     return near
 
 
-def _compare_tiles(fp: np.ndarray, pop: np.ndarray, side: np.ndarray, mask: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Linked places of one large group ordered by population count; side: tile of each place, pairs count between two tiles (or within one where it is negative)."""
-    two = side[0] >= 0
-    if two and side.min() == side.max():
-        return  # the other tile is empty
+def _compare_tiles(fp: np.ndarray, pop: np.ndarray, path: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Linked places of one large key, ordered by population count."""
     for a in range(0, len(fp), TILE):
         for b in range(a, len(fp), TILE):
             if pop[b] - pop[min(a + TILE, len(fp)) - 1] > RADIUS:
@@ -137,77 +181,66 @@ def _compare_tiles(fp: np.ndarray, pop: np.ndarray, side: np.ndarray, mask: int)
             x = fp[a : a + TILE, None] ^ fp[None, b : b + TILE]
             i, j = np.nonzero(np.bitwise_count(x) <= RADIUS)
             p, q = i + a, j + b
-            ok = p < q
-            if two:
-                ok &= side[p] != side[q]
-            p, q = p[ok], q[ok]
-            ok = _new(fp[p] ^ fp[q], np.full(len(p), mask))
+            p, q = p[p < q], q[p < q]
+            ok = _new(fp[p] ^ fp[q], np.full(len(p), path))
             yield p[ok], q[ok]
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All rows of a partition, whole keys (and tile pairs) together: (fp, linked, root) of linked fingerprints."""
+    """All rows of a partition, whole keys together: (fp, linked, root) of linked fingerprints."""
     parts = [b for b in batches if b.num_rows]
     if not parts:
         return
     t = pa.Table.from_batches(parts)
-    key, pair, side, mask, fp, n = (t[c].to_numpy() for c in ("key", "pair", "side", "mask", "fp", "n"))
+    key, path, fp, n = (t[c].to_numpy() for c in ("key", "path", "fp", "n"))
     fp = fp.view(np.uint64)
     pop = np.bitwise_count(fp).astype(np.int64)
-    order = np.lexsort((fp, pop, pair, key))
-    key, pair, side, mask, fp, n, pop = (x[order] for x in (key, pair, side, mask, fp, n, pop))
+    order = np.lexsort((fp, pop, key))
+    key, path, fp, n, pop = (x[order] for x in (key, path, fp, n, pop))
     total = len(key)
-    new = np.concatenate([[True], (key[1:] != key[:-1]) | (pair[1:] != pair[:-1])])
-    begin = np.flatnonzero(new)
+    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.append(begin, total))
     stop = np.repeat(begin + size, size)
     linked = np.zeros(total, np.int64)
-    forest = Forest(total)
+    up = np.arange(total)
 
     def note(p: np.ndarray, q: np.ndarray) -> None:
         np.add.at(linked, p, n[q])
         np.add.at(linked, q, n[p])
-        for a, b in zip(p.tolist(), q.tolist()):
-            forest.join(a, b)
+        join_all(up, p, q)
 
     small = np.flatnonzero(np.repeat(size <= 64, size))
     for d in range(1, 64):
         small = small[small + d < stop[small]]
         if not len(small):
             break
-        near = pop[small + d] - pop[small] <= RADIUS
-        p = small[near]
-        p = p[(side[p] != side[p + d]) | (side[p] < 0)]
-        ok = _new(fp[p] ^ fp[p + d], mask[p])
+        p = small[pop[small + d] - pop[small] <= RADIUS]
+        ok = _new(fp[p] ^ fp[p + d], path[p])
         note(p[ok], p[ok] + d)
     for b, s in zip(begin[size > 64].tolist(), size[size > 64].tolist()):
-        for p, q in _compare_tiles(fp[b : b + s], pop[b : b + s], side[b : b + s], int(mask[b])):
+        for p, q in _compare_tiles(fp[b : b + s], pop[b : b + s], int(path[b])):
             note(p + b, q + b)
     at = np.flatnonzero(linked)
-    root = np.array([forest.find(i) for i in at.tolist()], np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(fp[at].view(np.int64)), pa.array(linked[at]), pa.array(fp[root].view(np.int64) if len(root) else root)], ["fp", "linked", "root"])
+    root = at
+    while (up[root] != root).any():
+        root = up[root]
+    yield pa.RecordBatch.from_arrays([pa.array(fp[at].view(np.int64)), pa.array(linked[at]), pa.array(fp[root].view(np.int64))], ["fp", "linked", "root"])
 
 
 def links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
     """(fp, linked, root) rows of distinct fingerprints (fp, n): documents linked to fp in one task, and a forest edge."""
-    rows = distinct.select("fp", "n").mapInArrow(_explode, "key long, mask int, fp long, n long")
-    large = checkpoint(rows.groupBy("key").count().where(F.col("count") > hot))
-    plain = {"pair": F.lit(0).cast("long"), "side": F.lit(-1)}
-    if large.isEmpty():
-        tiled = rows.withColumns(plain)
-    else:
-        rows = rows.join(small_side(large, 24), "key", "left")
-        cool = rows.where(F.col("count").isNull()).drop("count").withColumns(plain)
-        salts = F.ceil(F.col("count") / (8 * hot)).cast("int")
-        pop, salt = F.bit_count("fp"), F.pmod(F.xxhash64("fp"), salts).cast("int")
-        warm = rows.where(F.col("count").isNotNull()).withColumns({"_salts": salts, "_pop": pop, "side": (pop * salts + salt).cast("int")})
-        span = F.sequence(F.greatest(F.lit(0), F.col("_pop") - RADIUS) * F.col("_salts"), F.least(F.lit(64), F.col("_pop") + RADIUS) * F.col("_salts") + F.col("_salts") - 1)
-        warm = warm.withColumn("other", F.explode(span))
-        low, high = F.least("side", "other").cast("long"), F.greatest("side", "other").cast("long")
-        warm = warm.withColumn("pair", F.lit(1) + F.shiftleft(low, 31) + high)
-        tiled = cool.unionByName(warm.select("key", "mask", "fp", "n", "pair", F.when(F.col("side") == F.col("other"), -1).otherwise(F.col("side")).alias("side")))
-    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return tiled.repartition(n, "key", "pair").mapInArrow(_compare, "fp long, linked long, root long")
+    kind = "key long, path int, fp long, n long"
+    rows, ready, total = distinct.select("fp", "n").mapInArrow(_explode, kind), [], 16 * distinct.count()
+    for _ in range(STEPS):
+        large = checkpoint(rows.groupBy("key").count().where(F.col("count") > hot))
+        if large.isEmpty():
+            break
+        total += 4 * (large.agg(F.sum("count")).first()[0])
+        side = small_side(large.select("key"), 8)
+        ready.append(rows.join(side, "key", "left_anti"))
+        rows = checkpoint(rows.join(side, "key", "left_semi").mapInArrow(_deeper, kind))
+    n = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // ROWS)
+    return reduce(DataFrame.unionAll, [*ready, rows]).repartition(n, "key").mapInArrow(_compare, "fp long, linked long, root long")
 
 
 def classes(fps: DataFrame, hot: int = HOT) -> DataFrame:

@@ -1,7 +1,20 @@
 import random
 
 from tesserae.llm.components import components
-from tesserae.llm.simhash import Forest
+
+
+class Forest:
+    def __init__(self, n):
+        self.up = list(range(n))
+
+    def find(self, a):
+        while self.up[a] != a:
+            a = self.up[a]
+        return a
+
+    def join(self, a, b):
+        a, b = self.find(a), self.find(b)
+        self.up[max(a, b)] = min(a, b)
 
 
 def test_components_match_union_find(spark):

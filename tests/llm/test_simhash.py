@@ -41,7 +41,23 @@ def test_groups_match_brute_force(spark, clashing, hot):
     assert got == want
 
 
-@pytest.mark.parametrize("hot", [simhash.HOT, 5, 70])
+def test_every_near_pair_meets_once_at_each_step():
+    rng = np.random.default_rng(5)
+    path = int(rng.integers(0, 16))
+    for depth in range(simhash.STEPS):
+        masks, taken = simhash.steps(path)[-1]
+        free = [b for b in range(64) if not int(masks[taken]) >> b & 1]
+        for mask in (more := simhash.longer(int(masks[taken]))):
+            assert int(mask) & int(masks[taken]) == int(masks[taken])
+        for _ in range(200):
+            x = sum(1 << b for b in rng.choice(free, 3, replace=False).tolist())
+            assert any(x & int(m) == 0 for m in more)
+        path = (path & 0xFFF | (depth + 1) << 12) + (int(rng.integers(0, 4)) << (4 + 2 * depth))
+    masks, taken = simhash.steps(path)[-1]
+    assert 64 - int(masks[taken]).bit_count() <= 12
+
+
+@pytest.mark.parametrize("hot", [simhash.HOT, 1, 5, 70])
 def test_links_of_clustered_fingerprints(spark, hot):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 8, dtype=np.uint64)
