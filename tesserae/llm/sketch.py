@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._spark import checkpoint, small_side
-from ._words import mix64, slices, words
+from ._words import mix64, slices, text_array, words
 
 K = 128
 #: Documents of one group of ``fingerprint_neighbours`` share doc_id >> BLOCK_BITS.
@@ -98,55 +98,69 @@ def edit(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _all_sketches(texts: list[bytes], k: int) -> list[np.ndarray]:
-    table = pa.table({"text": pa.array(texts, pa.large_binary())})
-    return [s for _, part in slices(table) for s in sketches(part, k)]
-
-
-def _fingerprint_block(table: pa.Table, k: int) -> pa.Table:
-    """Rows of one block, and as its ``copy`` the document that follows its last one."""
-    low = -(2**63)
-    ids = table["doc_id"].to_pylist()
-    texts = table["text"].to_pylist()
-    copies = table["copy"].to_pylist()
-    order = sorted(range(len(ids)), key=lambda i: (copies[i], -(low if ids[i] is None else ids[i]), texts[i] is not None, texts[i] or ""))
-    own = [i for i in order if not copies[i]]
-    raws = [(texts[i] or "") for i in order]
-    n = len(own)
-    edited = [edit(raws[i], raws[min(i + 1, len(raws) - 1)]) for i in range(n)]
-    coded = [e.encode() for e in edited]
-    old = _all_sketches([r.encode() for r in raws], k)
-    new = _all_sketches(coded, k)
-    nxt = [old[min(i + 1, len(raws) - 1)] for i in range(n)]
-    rows = {
-        "doc_id": pa.array([ids[i] for i in own], pa.int64()),
-        "n_chars": pa.array([len(r) for r in raws[:n]], pa.int64()),
-        "edited_sha256": [hashlib.sha256(c).hexdigest() for c in coded],
-        "fingerprint": [encode(a) for a in old[:n]],
-        "edited_fingerprint": [encode(a) for a in new],
-        "near_edited": [resemblance(a, b, k) for a, b in zip(old, new)],
-        "near_next": [resemblance(a, b, k) for a, b in zip(old, nxt)],
-        "n_shingles": [distinct(a, k) for a in old[:n]],
-        "containment_next": [containment(a, b, k) for a, b in zip(old, nxt)],
-    }
-    kinds = [pa.int64(), pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 4]
-    return pa.table([pa.array(v, t) if not isinstance(v, pa.Array) else v for v, t in zip(rows.values(), kinds)], list(rows))
+def _neighbours(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Rows in order, each block followed by a ``copy`` of the row after its last; what a block needs is at most the row before."""
+    last: pa.Table | None = None
+    for batch in batches:
+        for rows, _ in slices(batch):
+            now = pa.Table.from_batches([rows])
+            now = now if last is None else pa.concat_tables([last, now])
+            last = now.slice(now.num_rows - 1).combine_chunks()
+            own = [i for i, copy in enumerate(now["copy"].to_pylist()[:-1]) if not copy]
+            if not own:
+                continue
+            texts = [t or "" for t in now["text"].to_pylist()]
+            edited = [edit(texts[i], texts[i + 1]) for i in own]
+            coded = [e.encode() for e in edited]
+            old = sketches(text_array(now["text"]), k)
+            new = sketches(pa.array(coded, pa.large_binary()), k)
+            here, after = [old[i] for i in own], [old[i + 1] for i in own]
+            columns = [
+                now["doc_id"].take(own).combine_chunks(),
+                pa.array([len(texts[i]) for i in own], pa.int64()),
+                pa.array([hashlib.sha256(c).hexdigest() for c in coded]),
+                pa.array([encode(a) for a in here]),
+                pa.array([encode(a) for a in new]),
+                pa.array([resemblance(a, b, k) for a, b in zip(here, new)]),
+                pa.array([resemblance(a, b, k) for a, b in zip(here, after)]),
+                pa.array([distinct(a, k) for a in here]),
+                pa.array([containment(a, b, k) for a, b in zip(here, after)]),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SCHEMA.split(", ")])
+
+
+def _targets(tops: DataFrame) -> DataFrame:
+    """For each block, the one whose last row its first row follows: the next larger, and after the largest the least.
+
+    Blocks are put in order a thousand at a time, so that what one task orders is
+    a row for a million ids.
+    """
+    tops = checkpoint(tops.withColumn("above", F.shiftright("block", BLOCK_BITS)))
+    lows = tops.groupBy("above").agg(F.min("block").alias("low"))
+    order = Window.orderBy("above")
+    following = F.coalesce(F.lead("low").over(order), F.first("low").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    lows = small_side(checkpoint(lows.select(F.col("above").alias("a"), following.alias("following"))), 16)
+    inner = F.lead("block").over(Window.partitionBy("above").orderBy("block"))
+    return tops.withColumn("inner", inner).join(lows, F.col("above") == F.col("a")).select("block", "top", F.coalesce("inner", "following").alias("target"))
 
 
 def fingerprint_neighbours(docs: DataFrame, k: int = K) -> DataFrame:
     """Fingerprints of every document and of its text edited with the next one's, by descending doc_id, cyclically.
 
-    Blocks of neighbouring ids are handled together. What a block lacks is the
-    document after its last: the largest of the block below, copied to it. One
-    row per block finds those; only they are joined.
+    Blocks of neighbouring ids are exchanged, sorted by Spark and read as a
+    stream, of which one row more than a slice is held. What a block lacks is the
+    document after its last: the first of the block below, copied to it. One
+    row per block finds those; only they are joined. Rows that share a doc_id are
+    one ordered run, which one task reads, in a stream.
     """
     key = F.shiftright(F.coalesce(F.col("doc_id"), F.lit(-(2**63))), BLOCK_BITS)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("block", key)
-    tops = docs.groupBy("block").agg(F.max("doc_id").alias("top"))
-    above = Window.orderBy("block")
-    tops = tops.select("block", "top", F.coalesce(F.lead("block").over(above), F.min("block").over(above.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("target"))
-    tops = small_side(checkpoint(tops), 32)
+    tops = small_side(checkpoint(_targets(docs.groupBy("block").agg(F.max("doc_id").alias("top")))), 32)
     ends = docs.join(tops.withColumnRenamed("block", "b"), F.col("doc_id").eqNullSafe(F.col("top")) & (F.col("block") == F.col("b")))
-    ends = ends.select("doc_id", "text", F.col("target").alias("block"), F.lit(1).alias("copy"))
+    # Of rows that share the id, the first.
+    ends = ends.groupBy("doc_id", "target").agg(F.min(F.struct(F.col("text").isNotNull().alias("has"), "text")).alias("least"))
+    ends = ends.select("doc_id", F.col("least.text").alias("text"), F.col("target").alias("block"), F.lit(1).alias("copy"))
     rows = docs.select("doc_id", "text", "block", F.lit(0).alias("copy")).unionAll(ends)
-    return rows.groupBy("block").applyInArrow(lambda t: _fingerprint_block(t, k), SCHEMA)
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(n, "block").sortWithinPartitions("block", "copy", F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first())
+    return rows.mapInArrow(lambda batches: _neighbours(batches, k), SCHEMA)

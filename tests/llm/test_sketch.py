@@ -1,22 +1,55 @@
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from tesserae.llm import sketch
 
 
-def test_rows_match_the_definition(spark, clashing):
-    src = sorted(((r.doc_id, r.text) for r in clashing.collect()), key=lambda r: (-(r[0] if r[0] is not None else -(2**63)), r[1] is not None, r[1] or ""))
-    want = []
+def shingles(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    return {tuple(w[i : i + 3]) for i in range(len(w) - 2)} or ({tuple(w)} if w else set())
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def by_hand(rows):
+    """Texts, edited texts and true likenesses, by sets of shingles."""
+    src = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] is not None, r[1] or ""))
     for i, (d, t) in enumerate(src):
         t, nxt = t or "", src[(i + 1) % len(src)][1] or ""
         half = len(t) // 2
         e = t[: len(t) - half] + nxt[:half]
-        a, b, c = (sketch.sketches(pa.array([x.encode()], pa.large_binary()))[0] for x in (t, e, nxt))
-        want.append((str(d), len(t), hashlib.sha256(e.encode()).hexdigest(), sketch.encode(a), sketch.encode(b), sketch.resemblance(a, b), sketch.resemblance(a, c)))
-    got = [(str(r.doc_id), r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in sketch.fingerprint_neighbours(clashing).collect()]
-    assert sorted(got) == sorted(want)
+        a, b, c = shingles(t), shingles(e), shingles(nxt)
+        yield (str(d), len(t), hashlib.sha256(e.encode()).hexdigest()), t, e, (len(a | b), jaccard(a, b)), (len(a | c), jaccard(a, c)), len(a)
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_rows_match_brute_force(spark, clashing, parts):
+    src = [(r.doc_id, r.text) for r in clashing.collect()]
+    want = sorted(by_hand(src), key=lambda w: (w[0], w[4][1]))
+    got = sorted(sketch.fingerprint_neighbours(clashing.repartition(parts)).collect(), key=lambda r: (str(r.doc_id), r.n_chars, r.edited_sha256, r.near_next))
+    assert [(str(r.doc_id), r.n_chars, r.edited_sha256) for r in got] == [w[0] for w in want]
+    fingerprint = {}
+    for r, (_, t, e, (n, edited), (m, after), size) in zip(got, want):
+        # Exact where k hashes hold all shingles of both, else within the sketch's error.
+        assert r.near_edited == pytest.approx(edited, abs=1e-12 if n <= sketch.K else 0.2)
+        assert r.near_next == pytest.approx(after, abs=1e-12 if m <= sketch.K else 0.2)
+        assert r.n_shingles == pytest.approx(size, abs=0 if size < sketch.K else size * 0.35)
+        for text, f in ((t, r.fingerprint), (e, r.edited_fingerprint)):
+            assert fingerprint.setdefault(frozenset(shingles(text)), f) == f
+    assert len(set(fingerprint.values())) == len(fingerprint)
+
+
+def test_ids_far_apart_and_shared(spark):
+    ids = [*range(-3000, 3000, 7), 2**62, -(2**62), 2**40, 2**40 + 5, None, None, *[77] * 1500, *[2**40] * 3]
+    src = [(d, None if i % 97 == 5 else f"text {i % 400} of some words {i % 13}") for i, d in enumerate(ids)]
+    got = sketch.fingerprint_neighbours(spark.createDataFrame(src, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256) for r in got) == sorted(w[0] for w in by_hand(src))
 
 
 def texts(*words):
