@@ -19,6 +19,11 @@ Documents are handled in groups of 2^GROUP_BITS neighbouring ids:
    window of the contexts that share a gram.
 5. A group marks the windows whose first document is before its own.
 
+Partitions hold about 256 MB of text's grams each, whatever the setting of shuffle
+partitions is if there is more text, and every row goes just where it belongs. A
+partition is read in slices of its grams, sorted by Spark, so that a task of
+steps 2 and 4 holds one slice at a time.
+
 A gram of a third of all documents is one entry per group in step 1. A gram of
 more than ``HOT`` contexts isn't resolved in one place: groups send its windows
 as digests, which spread over all partitions and are again one per group.
@@ -26,7 +31,9 @@ Nothing is dropped at any size. Texts are exchanged once, by group; steps 3 and
 5 read the same exchange again.
 
 Digests: 48 bits of the gram and 40 of the context in steps 1 and 2; contexts
-themselves, or 128-bit digests of hot windows, in step 4.
+themselves, or 128-bit digests of hot windows, in step 4. What steps 1 and 2 settle
+is therefore right but for a collision of 88 bits, what step 4 settles by contexts
+is compared symbol by symbol.
 """
 
 from __future__ import annotations
@@ -34,6 +41,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +52,8 @@ from ._words import mix64, slices
 
 GROUP_BITS = 10
 HOT = 4096
+#: Bytes of text whose grams share a partition, and slices of one.
+PART_BYTES, SLICES = 256 << 20, 8
 _Q1, _Q2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _LOW48 = np.uint64((1 << 48) - 1)
 _LOW40 = np.uint64((1 << 40) - 1)
@@ -172,10 +182,10 @@ def _tell(table: pa.Table, m: Method, parts: int) -> pa.Table:
     got = [(r.fp & _LOW48, r.ch & _LOW40, doc) for _, _, r, doc in _all_runs(table, m)]
     fp, ch, doc = (np.concatenate([g[i] for g in got]) for i in range(3))
     ch[ch == SEVERAL] = 1
-    order = np.lexsort((ch, fp, fp % np.uint64(parts)))
+    order = np.lexsort((ch, fp, fp % np.uint64(parts * SLICES)))
     fp, ch, doc = fp[order], ch[order], doc[order]
     if not len(fp):
-        return pa.table({"part": pa.array([], pa.int32()), "grp": pa.array([], pa.int64()), "payload": pa.array([], pa.binary())})
+        return pa.table({"part": pa.array([], pa.int32()), "slice": pa.array([], pa.int32()), "grp": pa.array([], pa.int64()), "payload": pa.array([], pa.binary())})
     new = np.concatenate([[True], fp[1:] != fp[:-1]])
     begin = np.flatnonzero(new)
     low, high = np.minimum.reduceat(doc, begin), np.maximum.reduceat(doc, begin)
@@ -185,10 +195,10 @@ def _tell(table: pa.Table, m: Method, parts: int) -> pa.Table:
     entry["ch"] = _pack(np.where(kinds > 1, SEVERAL, ch[begin]), 5)
     power = np.minimum(np.ceil(np.log2(kinds)).astype(np.int64), 31)
     entry["meta"] = (low & ((1 << GROUP_BITS) - 1)) | (high > low).astype(np.int64) << 10 | power << 11
-    part = (fp[begin] % np.uint64(parts)).astype(np.int32)
-    cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    place = (fp[begin] % np.uint64(parts * SLICES)).astype(np.int32)
+    cut = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
     blocks = [entry[x:y].tobytes() for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(entry)])]
-    return pa.table({"part": part[cut], "grp": np.full(len(cut), group), "payload": pa.array(blocks, pa.binary())})
+    return pa.table({"part": place[cut] // SLICES, "slice": place[cut] % SLICES, "grp": np.full(len(cut), group), "payload": pa.array(blocks, pa.binary())})
 
 
 def _by_group(group: np.ndarray, records: np.ndarray, kind: int) -> pa.RecordBatch:
@@ -202,14 +212,20 @@ def _by_group(group: np.ndarray, records: np.ndarray, kind: int) -> pa.RecordBat
 ANSWERS = "grp long, kind int, payload binary"
 
 
+def _by_slice(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[list[tuple]]:
+    """The rows of one slice of a partition after another."""
+    rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("slice", *names))))
+    for _, own in groupby(rows, key=lambda r: r[0]):
+        yield [r[1:] for r in own]
+
+
 def _meet(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch]:
     """Step 2, for all grams of a partition."""
-    groups, blocks = [], []
-    for b in batches:
-        groups += b.column("grp").to_pylist()
-        blocks += b.column("payload").to_pylist()
-    if not blocks:
-        return
+    for rows in _by_slice(batches, "grp", "payload"):
+        yield from _meet_slice([r[0] for r in rows], [r[1] for r in rows], hot)
+
+
+def _meet_slice(groups: list[int], blocks: list[bytes], hot: int) -> Iterator[pa.RecordBatch]:
     each = np.array([len(x) // ENTRY.itemsize for x in blocks])
     entry = np.frombuffer(b"".join(blocks), ENTRY)
     del blocks
@@ -276,23 +292,24 @@ def _send(left: pa.Table, right: pa.Table, m: Method, parts: int) -> pa.Table:
                     contexts[key] = [int(r.at[i] - r.a[i]), s.context(int(r.a[i]), int(r.b[i]) + m.length), int(r.b[i] - r.a[i]) + 1, d, d]
     to: dict[int, list] = {}
     for (fp, ch), x in contexts.items():
-        to.setdefault(fp % parts, []).append((fp, ch, *x))
+        to.setdefault(fp % (parts * SLICES), []).append((fp, ch, *x))
     rows = [(p, CONTEXT_ROW, m.pack(x)) for p, x in to.items()]
     if hot:
         rec = np.array([(np.void(g), *x) for g, x in hot.items()], HOT_WINDOW)
-        where = np.ascontiguousarray(rec["digest"]).view("<u8")[::2] % np.uint64(parts)
+        where = np.ascontiguousarray(rec["digest"]).view("<u8")[::2] % np.uint64(parts * SLICES)
         rows += [(int(p), HOT_ROW, rec[where == p].tobytes()) for p in np.unique(where)]
     part, kind, payload = zip(*rows) if rows else ((), (), ())
-    return pa.table({"part": pa.array(part, pa.int32()), "grp": pa.array([group] * len(rows), pa.int64()), "kind": pa.array(kind, pa.int32()), "payload": pa.array(payload, pa.binary())})
+    place = np.array(part, np.int32)
+    return pa.table({"part": place // SLICES, "slice": place % SLICES, "grp": pa.array([group] * len(rows), pa.int64()), "kind": pa.array(kind, pa.int32()), "payload": pa.array(payload, pa.binary())})
 
 
 def _resolve(batches: Iterator[pa.RecordBatch], m: Method) -> Iterator[pa.RecordBatch]:
     """Step 4."""
-    groups, kinds, blocks = [], [], []
-    for b in batches:
-        groups += b.column("grp").to_pylist()
-        kinds += b.column("kind").to_pylist()
-        blocks += b.column("payload").to_pylist()
+    for rows in _by_slice(batches, "grp", "kind", "payload"):
+        yield from _resolve_slice(*map(list, zip(*rows)), m)
+
+
+def _resolve_slice(groups: list[int], kinds: list[int], blocks: list[bytes], m: Method) -> Iterator[pa.RecordBatch]:
     context = [i for i, k in enumerate(kinds) if k == CONTEXT_ROW]
     for i, found in m.resolve([blocks[i] for i in context]):
         payload = b"".join(np.array([fp, ch, len(first)], "<u8").tobytes() + first.astype("<i8").tobytes() for fp, ch, first in found)
@@ -358,15 +375,16 @@ def dedup(docs: DataFrame, m: Method, hot: int = HOT) -> DataFrame:
     A row with a null doc_id comes neither before nor after another: it loses
     nothing, and nothing is removed on its account.
     """
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     name = GROUP
     while any(c.rstrip("_") == GROUP and len(c) >= len(name) for c in docs.columns):
         name += "_"
     groups = docs.where(F.col("doc_id").isNotNull()).withColumn(name, group_of(F.col("doc_id"))).groupBy(name)
-    told = groups.applyInArrow(lambda t: _tell(t, m, parts), "part int, grp long, payload binary")
-    said = told.repartition(parts, "part").mapInArrow(lambda b: _meet(b, hot), ANSWERS)
-    asked = groups.cogroup(said.groupBy("grp")).applyInArrow(lambda x, y: _send(x, y, m, parts), "part int, grp long, kind int, payload binary")
-    found = asked.repartition(parts, "part").mapInArrow(lambda b: _resolve(b, m), ANSWERS)
+    told = groups.applyInArrow(lambda t: _tell(t, m, parts), "part int, slice int, grp long, payload binary")
+    said = told.repartitionById(parts, "part").sortWithinPartitions("slice").mapInArrow(lambda b: _meet(b, hot), ANSWERS)
+    asked = groups.cogroup(said.groupBy("grp")).applyInArrow(lambda x, y: _send(x, y, m, parts), "part int, slice int, grp long, kind int, payload binary")
+    found = asked.repartitionById(parts, "part").sortWithinPartitions("slice").mapInArrow(lambda b: _resolve(b, m), ANSWERS)
     done = groups.cogroup(said.unionAll(found).groupBy("grp")).applyInArrow(lambda x, y: _mark(x, y, m), m.schema)
 
     def nameless(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,4 +1,4 @@
-"""Substring removal by suffix automata of reference shards.
+"""Substring removal by suffix automata of reference shards, which meet the texts by exchange rather than by broadcast.
 
 A word goes if a window of ``length`` words over it also starts in a document of
 a smaller doc_id. ``_anchors`` brings the contexts that share an anchor gram to
