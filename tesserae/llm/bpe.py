@@ -26,7 +26,9 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ._spark import free_name
 from ._words import IS_SPACE, byte_list, raw, slices
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -327,7 +329,16 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """The documents without their text: doc_id, lang, source, n_tokens, ids, and whether the decoded ids are the text."""
+    """The documents with n_tokens, ids and same (whether the decoded ids are the text) instead of their text; all other columns stay.
+
+    Null and empty texts have no ids; repeated rows are encoded each; a new
+    column whose name is taken gets underscores behind it; an empty table gives an
+    empty one.
+    """
+    new = [free_name(c, docs.columns) for c in ("n_tokens", "ids", "same")]
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    kinds = (T.LongType(), T.ArrayType(T.IntegerType()), T.BooleanType())
+    schema = T.StructType([*(f for f in docs.schema.fields if f.name != "text"), *map(T.StructField, new, kinds)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(path)
@@ -339,10 +350,10 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                 text = encoder.bpe.decode(ids).tobytes()
                 same = [text[a:b] == t for a, b, t in zip(sizes, sizes[1:], byte_list(texts))]
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("lang"), rows.column("source"), pa.array(counts), lists, pa.array(same, pa.bool_())], ["doc_id", "lang", "source", "n_tokens", "ids", "same"])
+                kept = [rows.column(c) for c in rows.schema.names if c != "text"]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(counts), lists, pa.array(same, pa.bool_())], schema.names)
 
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("text").cast("string"))
-    return docs.mapInArrow(run, "doc_id long, lang string, source string, n_tokens long, ids array<int>, same boolean")
+    return docs.mapInArrow(run, schema)
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -61,3 +61,18 @@ def test_query_rows(library, clashing):
     got = sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.round_trip(clashing, PATH).collect())
     assert got == sorted(row(r.doc_id, r.text) for r in clashing.collect())
     assert bpe.round_trip(clashing.limit(0), PATH).count() == 0
+
+
+def test_encode_keeps_other_columns(library, documents, clashing):
+    df = clashing.selectExpr("*", "1 AS ids", "2 AS n_tokens_")
+    out = bpe.encode(df, PATH)
+    assert out.columns == [c for c in df.columns if c != "text"] + ["n_tokens", "ids_", "same"]
+    want = [str((r.doc_id, r.n_chars, library.encode(r.text or "", add_special_tokens=False).ids)) for r in df.collect()]
+    assert sorted(str((r.doc_id, r.n_chars, r.ids_)) for r in out.collect()) == sorted(want)
+    assert bpe.encode(documents.select("doc_id", "text"), PATH).columns == ["doc_id", "n_tokens", "ids", "same"]
+    assert all(r.same for r in bpe.encode(documents, PATH).collect()) and bpe.encode(documents.limit(0), PATH).count() == 0
+
+
+def test_other_tokenizers_are_refused():
+    with pytest.raises(ValueError, match="byte-level"):
+        bpe.Bpe(public_tokenizers.path("word_bpe_49k.json"))
