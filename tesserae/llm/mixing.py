@@ -110,8 +110,10 @@ def plan(docs: DataFrame) -> DataFrame:
 def sample(docs: DataFrame) -> DataFrame:
     """The mix itself: each document as many times as it is taken, with all its columns. Texts aren't shuffled."""
     # All columns in one, so that none can clash with those that decide.
-    rows = keyed(docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "source")).drop("text")
+    rows = keyed(docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "source"))
     slim = checkpoint(rows.select("doc_id", "_source", "_size", "_key", "_range"))
+    # From here on only whether a text has words counts; they are counted once.
+    rows = rows.withColumn("_size", F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).cast("int")).drop("text")
     mixed = _decided(rows, source_plan(slim)).where((F.col("_size") > 0) & (F.col("_copies") > 0))
     return mixed.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("_row.*")
 
