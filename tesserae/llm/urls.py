@@ -5,9 +5,10 @@ neighbour of the term, in the lower-cased url, is an ASCII letter or digit. One
 term, or enough weight of distinct soft terms, blocks a url that no rule fits.
 
 The vocabulary is a file of lines term, kind (strict or soft), weight and topic.
-``url_terms.tsv`` beside this module is one of 469 terms (86 strict), gathered for
-this package from what words in English, German, French and Spanish addresses of
-nine kinds of unwanted sites use; another file is a parameter. It travels in the
+``url_terms.tsv`` beside this module is one of 469 terms (86 strict), written for
+this package: words of addresses of nine kinds of unwanted sites in English, German,
+French and Spanish, with the supplied tables' hosts in view; another file is a
+parameter. It travels in the
 plan of each task, so it is meant for up to some 100,000 terms; ``Vocabulary.load``
 refuses files of over 8 MB.
 
