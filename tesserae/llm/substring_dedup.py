@@ -32,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._anchors import HOT, Method, Symbols, dedup
+from ._anchors import HOT, Contexts, Found, Method, Symbols, dedup
 from ._words import mix64, words
 
 LENGTH, GRAM = 13, 6
 #: Contexts of one automaton; a gram's are never parted.
 SHARD = 2000
-RECORD = np.dtype([("fp", "<u8"), ("ch", "<u8"), ("n", "<u2"), ("size", "<u4"), ("first", "<i8"), ("last", "<i8")])
+RECORD = np.dtype([("fp", "<u8"), ("ch", "<u8"), ("n", "<u2"), ("size", "<u4"), ("first", "<u2"), ("last", "<u2")])
 DIGESTS = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -114,18 +114,21 @@ class Automaton:
         return out
 
 
-def pack(contexts: list[tuple]) -> bytes:
-    rec = np.array([(fp, ch, n, len(c), first, last) for fp, ch, _, c, n, first, last in contexts], RECORD)
-    return len(rec).to_bytes(4, "little") + rec.tobytes() + b"".join(c[3] for c in contexts)
+def pack(c: Contexts) -> Iterator[tuple[int, bytes]]:
+    rec = np.zeros(len(c.text), RECORD)
+    for name, x in (("fp", c.fp), ("ch", c.ch), ("n", c.n), ("size", [len(t) for t in c.text]), ("first", c.first), ("last", c.last)):
+        rec[name] = x
+    for p, x, y in c.cuts():
+        yield p, (y - x).to_bytes(4, "little") + rec[x:y].tobytes() + b"".join(c.text[x:y])
 
 
-def resolve(blocks: list[bytes], length: int = LENGTH) -> Iterator[tuple[int, list]]:
+def resolve(blocks: list[bytes], bases: np.ndarray, length: int = LENGTH) -> Iterator[tuple[int, Found]]:
     rows = []
-    for i, block in enumerate(blocks):
+    for i, (block, base) in enumerate(zip(blocks, bases.tolist())):
         n = int.from_bytes(block[:4], "little")
         at = 4 + n * RECORD.itemsize
         for fp, ch, windows, size, first, last in np.frombuffer(block[4:at], RECORD).tolist():
-            rows.append((fp, first, i, ch, windows, block[at : at + size], last))
+            rows.append((fp, base + first, i, ch, windows, block[at : at + size], base + last))
             at += size
     rows.sort(key=lambda r: r[0])
     found: dict[int, list] = {}
@@ -141,7 +144,9 @@ def resolve(blocks: list[bytes], length: int = LENGTH) -> Iterator[tuple[int, li
             if firsts.min() < last:
                 found.setdefault(i, []).append((fp, ch, firsts))
         begin = end
-    yield from found.items()
+    for i, own in found.items():
+        fps, chs, firsts = zip(*own)
+        yield i, Found(np.array(fps, np.uint64), np.array(chs, np.uint64), np.array([len(x) for x in firsts]), np.concatenate(firsts))
 
 
 def _digests(rows: pa.RecordBatch, s: WordSymbols, gone: np.ndarray) -> dict:

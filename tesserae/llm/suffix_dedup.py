@@ -31,12 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._anchors import HOT, Method, Symbols, dedup
+from ._anchors import HOT, Contexts, Found, Method, Symbols, dedup, ramps
 from ._words import mix64, raw
 
 LENGTH, GRAM = 50, 20
 VALUES = mix64(np.arange(256, dtype=np.uint64) + np.uint64(0x51_7C_C1_B7_27_22_0A_95))
-RECORD = np.dtype([("shared", "u1"), ("rest", "u1"), ("left", "u1"), ("n", "u1"), ("ch", "<u8"), ("first", "<i8"), ("last", "<i8")])
+RECORD = np.dtype([("shared", "u1"), ("rest", "u1"), ("left", "u1"), ("n", "u1"), ("ch", "<u8"), ("first", "<u2"), ("last", "<u2")])
 PREFIX = 6  #: bytes of the gram's digest before the suffix itself
 DIGESTS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 SPANS = "doc_id long, kept binary, spans array<struct<begin:long,end:long>>"
@@ -59,17 +59,35 @@ def shared_prefix(a: bytes, b: bytes, known: int = 0) -> int:
     return known
 
 
-def pack(contexts: list[tuple]) -> bytes:
-    """A sorted, front-coded run of suffixes with what belongs to each."""
-    rows = sorted((fp.to_bytes(PREFIX, "big") + c[left:], c[:left], ch, n, first, last) for fp, ch, left, c, n, first, last in contexts)
-    rec = np.zeros(len(rows), RECORD)
-    data, before = [], b""
-    for i, (key, left, ch, n, first, last) in enumerate(rows):
-        k = shared_prefix(before, key)
-        rec[i] = (k, len(key) - k, len(left), n, ch, first, last)
-        data += [key[k:], left]
-        before = key
-    return len(rows).to_bytes(4, "little") + rec.tobytes() + b"".join(data)
+def pack(c: Contexts) -> Iterator[tuple[int, bytes]]:
+    """For each place a sorted, front-coded run of suffixes with what belongs to each."""
+    size = np.array([len(x) for x in c.text])
+    right = size - c.left
+    flat = np.frombuffer(b"".join(c.text), np.uint8)
+    start = np.cumsum(size) - size
+    total, width = len(size), -(-(PREFIX + int(right.max())) // 8) * 8
+    keys = np.zeros((total, width), np.uint8)
+    keys[:, :PREFIX] = c.fp.astype(">u8").view(np.uint8).reshape(-1, 8)[:, -PREFIX:]
+    row = np.arange(total)
+    keys.reshape(-1)[ramps(row * width + PREFIX, right)] = flat[ramps(start + c.left, right)]
+    # Zeros behind a key don't tell it from a longer one with zeros there; its length does.
+    order = np.lexsort((right, *keys.view(">u8").T[::-1].astype(np.uint64), c.place))
+    keys, left, start, long = keys[order], c.left[order], start[order], PREFIX + right[order]
+    place = c.place[order]
+    differ = keys[1:] != keys[:-1]
+    shared = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+    shared = np.concatenate([[0], np.where(place[1:] == place[:-1], np.minimum(shared, np.minimum(long[1:], long[:-1])), 0)])
+    rest = long - shared
+    rec = np.zeros(total, RECORD)
+    for name, x in (("shared", shared), ("rest", rest), ("left", left), ("n", c.n[order]), ("ch", c.ch[order]), ("first", c.first[order]), ("last", c.last[order])):
+        rec[name] = x
+    end = np.cumsum(rest + left)
+    data = np.zeros(int(end[-1]), np.uint8)
+    data[ramps(end - rest - left, rest)] = keys.reshape(-1)[ramps(row * width + shared, rest)]
+    data[ramps(end - left, left)] = flat[ramps(start, left)]
+    end = [0, *end.tolist()]
+    for p, x, y in c.cuts():
+        yield p, (y - x).to_bytes(4, "little") + rec[x:y].tobytes() + data[end[x] : end[y]].tobytes()
 
 
 def unpack(block: bytes) -> tuple[np.ndarray, list[bytes], list[bytes]]:
@@ -112,6 +130,8 @@ def merge(runs: list[list[bytes]], shared: list[list[int]]) -> Iterator[tuple[in
         if p < q:
             return b, a
         n = min(len(x), len(y))
+        while p + 8 <= n and x[p : p + 8] == y[p : p + 8]:
+            p += 8
         while p < n and x[p] == y[p]:
             p += 1
         if p == len(x) or p < n and x[p] < y[p]:
@@ -151,7 +171,7 @@ def merge(runs: list[list[bytes]], shared: list[list[int]]) -> Iterator[tuple[in
             node //= 2
 
 
-def resolve(blocks: list[bytes], length: int = LENGTH) -> Iterator[tuple[int, list]]:
+def resolve(blocks: list[bytes], bases: np.ndarray, length: int = LENGTH) -> Iterator[tuple[int, Found]]:
     if not blocks:
         return
     parts = [unpack(b) for b in blocks]
@@ -164,6 +184,7 @@ def resolve(blocks: list[bytes], length: int = LENGTH) -> Iterator[tuple[int, li
     lefts = [parts[p][2][i] for p, i, _ in order]
     keys = [parts[p][1][i] for p, i, _ in order]
     n, left = rec["n"].astype(np.int64), rec["left"].astype(np.int64)
+    mine, last = bases[part] + rec["first"], bases[part] + rec["last"]
     total, deep = len(order), int(left.max(initial=0))
     back = np.zeros((total, deep), np.uint8)
     flat = np.frombuffer(b"".join(x[::-1] for x in lefts), np.uint8)
@@ -181,16 +202,15 @@ def resolve(blocks: list[bytes], length: int = LENGTH) -> Iterator[tuple[int, li
         name = mix64(right * np.uint64(0xC2B2AE3D27D4EB4F) ^ h)[has]
         _, which = np.unique(name, return_inverse=True)
         low = np.full(int(which.max()) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(low, which, rec["first"][has])
+        np.minimum.at(low, which, mine[has])
         first[has, left[has] - o] = low[which]
-    send = np.flatnonzero(first.min(axis=1, initial=np.iinfo(np.int64).max) < rec["last"])
+    send = np.flatnonzero(first.min(axis=1, initial=np.iinfo(np.int64).max) < last)
     send = send[np.argsort(part[send], kind="stable")]
-    out: list = []
-    for j, i in enumerate(send.tolist()):
-        out.append((int.from_bytes(keys[i][:PREFIX], "big"), int(rec["ch"][i]), first[i, : n[i]]))
-        if j + 1 == len(send) or part[send[j + 1]] != part[i]:
-            yield int(part[i]), out
-            out = []
+    fp = np.frombuffer(b"".join([b"\0\0" + keys[i][:PREFIX] for i in send.tolist()]), ">u8").astype(np.uint64)
+    cut = np.flatnonzero(np.diff(part[send], prepend=-1)).tolist()
+    for x, y in zip(cut, [*cut[1:], len(send)]):
+        own = send[x:y]
+        yield int(part[own[0]]), Found(fp[x:y], rec["ch"][own], n[own], first[own][np.arange(first.shape[1]) < n[own][:, None]])
 
 
 def spans_of(gone: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

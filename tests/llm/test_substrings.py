@@ -2,9 +2,11 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from tesserae.llm import substring_dedup, suffix_dedup
+from tesserae.llm import _anchors, substring_dedup, suffix_dedup
 
 
 def brute(rows, length, split):
@@ -121,3 +123,54 @@ def test_matching_statistics():
             assert a.matches(x, 4) == want
             a.add(x, d)
             known.append((d, x))
+
+
+def test_slices_are_as_many_as_memory_needs():
+    for size in (0, 1, 10**9, 10**10, 10**12):
+        for setting in (1, 12, 200, 600):
+            parts, per = _anchors.places(size, setting)
+            assert parts >= setting and size <= parts * per * _anchors.SLICE_BYTES and (per == 1 or size > parts * (per - 1) * _anchors.SLICE_BYTES)
+    assert _anchors.places(10 << 30, 600) == (600, 3)
+
+
+@pytest.mark.parametrize("module", [suffix_dedup, substring_dedup])
+def test_rows_of_the_exchanges(module):
+    """A slice answers all groups in one batch, and a group hears of a gram once in each step."""
+    own = module.Bytes if module is suffix_dedup else module.WordSymbols
+    m = _anchors.Method(module.LENGTH, module.GRAM, own, module.pack, module.resolve, module._digests, module.DIGESTS)
+    rnd = random.Random(5)
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = [(g << _anchors.GROUP_BITS | i, f"{rnd.random()} {passage} {rnd.random()}") for g in range(12) for i in range(3)]
+    groups = [pa.table({"grp": [g] * 3, "doc_id": pa.array([d for d, _ in rows[3 * g : 3 * g + 3]], pa.int64()), "text": [t for _, t in rows[3 * g : 3 * g + 3]]}) for g in range(12)]
+
+    def to(group, batches, kinds):
+        found = [(r["kind"], r["payload"]) for b in batches for r in b.to_pylist() if r["grp"] == group and r["kind"] in kinds]
+        return pa.table({"kind": pa.array([k for k, _ in found], pa.int32()), "payload": pa.array([p for _, p in found], pa.binary())})
+
+    told = pa.concat_tables([_anchors._tell(g, m, 1, 1) for g in groups])
+    said = list(_anchors._meet_slice(told["grp"].to_pylist(), told["payload"].to_pylist(), _anchors.HOT))
+    asked = pa.concat_tables([_anchors._send(g, to(i, said, {_anchors.ASK_ROW}), m, 1, 1) for i, g in enumerate(groups)])
+    found = list(_anchors._resolve_slice(asked["grp"].to_pylist(), asked["kind"].to_pylist(), asked["payload"].to_pylist(), m))
+    assert len(found) == 1 and sorted(found[0]["grp"].to_pylist()) == list(range(12))
+    for i in range(12):
+        asks, settled = (_anchors._said(to(i, said, {k}), k)["fp"].tolist() for k in (_anchors.ASK_ROW, _anchors.SINGLE_ROW))
+        assert asks and len(set(asks + settled)) == len(asks + settled)
+    done = [r for i, g in enumerate(groups) for r in _anchors._mark(g, to(i, said + found, {_anchors.SINGLE_ROW, _anchors.CONTEXT_ROW, _anchors.HOT_ROW}), m).to_pylist()]
+    want = bytes_of(rows) if module is suffix_dedup else words_of(rows)
+    assert sorted((str(r["doc_id"]), *[v for k, v in r.items() if k != "doc_id"]) for r in done) == want
+
+
+def test_packed_runs_are_sorted_and_whole():
+    rnd = random.Random(4)
+    n = 400
+    text = [bytes(rnd.choice(b"\0\0ab") for _ in range(rnd.randint(50, 56))) for _ in range(n)]
+    left = np.array([rnd.randint(max(0, len(t) - 50), 30) for t in text])
+    place = np.sort(np.array([rnd.randint(0, 5) for _ in range(n)]))
+    fp, ch, windows, first = (np.array([rnd.randint(0, top) for _ in range(n)], np.uint64) for top in (3, 2**64 - 1, 31, 1023))
+    got = {p: suffix_dedup.unpack(x) for p, x in suffix_dedup.pack(_anchors.Contexts(place, fp, ch, left, windows, first, first, text))}
+    assert sorted(got) == sorted(set(place.tolist()))
+    for p, (rec, keys, lefts) in got.items():
+        want = sorted((int(fp[i]).to_bytes(6, "big") + text[i][left[i] :], text[i][: left[i]], int(ch[i]), int(windows[i]), int(first[i])) for i in np.flatnonzero(place == p))
+        assert keys == [w[0] for w in want]
+        assert sorted(zip(keys, lefts, rec["ch"].tolist(), rec["n"].tolist(), rec["first"].tolist())) == want
+        assert rec["shared"].tolist() == [0] + [suffix_dedup.shared_prefix(a, b) for a, b in zip(keys, keys[1:])]
