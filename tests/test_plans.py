@@ -1,3 +1,5 @@
+from collections import Counter
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -5,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tesserae import plans
 from tesserae.model import GIB, METHODS, Method
+from tesserae.queries import QUERIES
 
 
 @pytest.mark.parametrize("block, length, want", [(1024, 4096, [0, 1024, 2048, 3072]), (1000, 3500, [0, 1000, 2000, 3000]), (1000, 0, []), (5000, 2000, [0]), (1000, -2000, []), (8 * GIB, 35 * GIB, [i * 8 * GIB for i in range(5)])])
@@ -12,6 +15,22 @@ def test_offsets(spark, block, length, want):
     assert spark.range(1).select(plans.offsets(F.lit(block), F.lit(length)).alias("o")).first().o == want
 
 
+def test_offsets_of_one_row_are_spread_over_tasks(spark, tmp_path):
+    keys = [None, -5, 0, 101, 4_096_000]  # the last has ten runs of 4,096 offsets
+    spark.createDataFrame([(k,) for k in keys], "c_custkey long").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    got = QUERIES["pln01_offsets"](spark, str(tmp_path)).withColumn("task", F.spark_partition_id()).toArrow().to_pylist()
+    assert sorted((r["c_custkey"], r["offset"]) for r in got) == [(k, o) for k in keys for o in range(0, (k or 0) * 10, 1000)]
+    assert max(Counter(r["task"] for r in got).values()) < len(got) * 0.4
+
+
+@pytest.mark.parametrize("block, length", [(1024, 4096), (7, 7 * 4096), (7, 7 * 4096 + 1), (1, 12288), (1000, 0), (1000, -2000), (7, None), (2**33, 2**50 + 1), (2**40, 2**40 + 1), (2**62, 2**63 - 1)])
+def test_exploded_offsets(spark, block, length):
+    rows = spark.createDataFrame([("a", block, length)] * 2, "id string, b long, l long")
+    got = plans.explode_offsets(rows, F.col("b"), F.col("l"), "o")
+    assert got.columns == ["id", "b", "l", "o"]
+    assert sorted(r.o for r in got.collect()) == sorted(2 * list(range(0, length or 0, block)))
+
+
 def test_no_block_size(spark):
     with pytest.raises(Exception, match="block size"):
         spark.range(1).select(plans.offsets(F.col("id"), F.lit(1000)).alias("o")).collect()
