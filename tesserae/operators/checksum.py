@@ -18,8 +18,8 @@ from ..sources import read_range, slice_bytes
 def blocks(content: Column, size: Column, block_size: Column, algorithm: str) -> Column:
     """Array of (offset, length, checksum) of a binary column's blocks, at least one; the bytes aren't carried into a row per block."""
     length = lambda o: F.least(block_size, size - o).cast("bigint")
-    one = lambda o: F.struct(o.alias("offset"), length(o).alias("length"), fn.digest(slice_bytes(content, o, length(o)), algorithm).alias("checksum"))
-    return F.transform(offsets(F.greatest(block_size, F.lit(1)), F.greatest(size, F.lit(1))), one)
+    one = lambda data, o: F.struct(o.alias("offset"), length(o).alias("length"), fn.digest(slice_bytes(data, o, length(o)), algorithm).alias("checksum"))
+    return fn.once(content, lambda data: F.transform(offsets(F.greatest(block_size, F.lit(1)), F.greatest(size, F.lit(1))), lambda o: one(data, o)))
 
 
 def block_checksums(objects: DataFrame, m: Method) -> DataFrame:

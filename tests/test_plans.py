@@ -1,3 +1,4 @@
+import hashlib
 from collections import Counter
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tesserae import plans
 from tesserae.model import GIB, METHODS, Method
+from tesserae.operators import checksum
 from tesserae.queries import QUERIES
 
 
@@ -69,6 +71,34 @@ def test_prefix_and_pieces(spark):
     assert spark.range(1).select(plans.split_bytes(F.lit("hello wörld"), 5).alias("p")).first().p == [b"hello", b" w\xc3\xb6r", b"ld"]
 
 
+def test_text_is_computed_once_for_all_its_pieces(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        calls.add(1)
+        return text
+
+    text = "wörld " * 2000
+    long, none, empty = (r.p for r in spark.createDataFrame([(text,), (None,), ("",)], "t string").select(plans.split_bytes(counted("t"), 9).alias("p")).collect())
+    assert b"".join(long) == text.encode() and {len(x) for x in long[:-1]} == {9} and none == empty == []
+    assert calls.value == 3
+
+
+def test_content_is_read_once_for_all_its_blocks(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("binary")
+    def counted(content):
+        calls.add(1)
+        return content
+
+    data = bytes(range(256)) * 40
+    rows = spark.createDataFrame([(data, len(data)), (b"", 0)], "c binary, n long").select(checksum.blocks(counted("c"), F.col("n"), F.lit(1000), "md5").alias("b")).collect()
+    assert [[tuple(b) for b in r.b] for r in rows] == [[(o, len(x[o : o + 1000]), hashlib.md5(x[o : o + 1000]).hexdigest()) for o in range(0, max(len(x), 1), 1000)] for x in (data, b"")]
+    assert calls.value == 2
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.integers(0, 2**40), min_size=1, max_size=30), st.sampled_from(["md5", "md5-2gb", "md5-8gb"]))
 def test_tasks_tile_every_object_and_number_densely(spark, sizes, method):
